@@ -191,7 +191,7 @@ def write_household(spark: SparkSession, sf_dir: str) -> str:
 def write_bank(spark: SparkSession, sf_dir: str) -> str:
     kinds = F.array(*[F.lit(k) for k in ("DEBIT", "credit", "Purchase", "refund", "unknown")])
     return _write_csv(table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("Transaction Ref"), F.col("o_custkey").alias("Account ID"),
+        F.col("o_orderkey").alias("Transaction Ref"), (F.col("o_custkey") % 10).alias("Account ID"),
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Transaction Date"),
         (F.round(F.col("o_totalprice") * 100).cast("bigint") * F.expr("0.01BD"))
         .cast("decimal(18,2)").alias("Transaction Amount"),

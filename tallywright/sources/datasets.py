@@ -29,6 +29,11 @@ def _day(text: Column, layouts: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)).cast("date") for f in layouts])
 
 
+def _two_digit_year(day: Column) -> Column:
+    """Years 69 to 99 belong to the last century."""
+    return F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
+
+
 def _number(text: Column) -> Column:
     return strip(text).try_cast("double")
 
@@ -50,7 +55,7 @@ def cards_by_city(cards: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     text = F.concat(F.col("Exp Type"), F.lit(" spend "), F.col("Card Type"), F.lit(" card "),
                     F.col("City"))
     rows = cards.select(
-        "City", F.try_to_date("Date", "d-MMM-yy").alias("txn_date"),
+        "City", _two_digit_year(F.try_to_date("Date", "d-MMM-yy")).alias("txn_date"),
         redact(text).alias("description"),
         (-F.abs(_number(F.col("Amount")).cast("bigint"))).cast(MONEY).alias("amount"),
         F.col("Exp Type").alias("kind"))
