@@ -199,7 +199,7 @@ _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 SELECT doc_id, cast(len(toks) AS int) AS n, toks[1] AS first, array_to_string(toks, ' ') AS tokens
 FROM d""")
 def text_tokens(spark, sf):
-    found = X.table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("toks"))
+    found = X.documents(spark, sf).select("doc_id", tokens(F.col("text")).alias("toks"))
     return found.select("doc_id", F.size("toks").alias("n"), F.get("toks", 0).alias("first"),
                         F.array_join("toks", " ").alias("tokens"))
 
@@ -213,7 +213,7 @@ b AS MATERIALIZED (SELECT {key}, cast(h % {dim} AS int) AS bucket, count(*) AS n
 @query("WITH " + _buckets("documents", "doc_id", "text", 1536)
        + " SELECT doc_id, bucket, cast(n AS int) AS n FROM b")
 def embed_hash(spark, sf):
-    made = X.table(spark, sf, "documents").select(
+    made = X.documents(spark, sf).select(
         "doc_id", H.hash_vector(F.col("text")).alias("vector"))
     return made.select("doc_id", F.inline(F.arrays_zip(
         F.col("vector.indices").alias("bucket"), F.col("vector.counts").alias("n"))))
@@ -315,7 +315,7 @@ def extractive_answer(spark, sf):
 @query("""SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the')
 OR contains(lower(text), 'worthless')""")
 def search_keywords(spark, sf):
-    rows = X.table(spark, sf, "documents").withColumnRenamed("text", "description")
+    rows = X.documents(spark, sf).withColumnRenamed("text", "description")
     return spend.search_keywords(rows, "The; WORTHLESS").select("doc_id", "source")
 
 

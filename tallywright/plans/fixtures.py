@@ -8,6 +8,7 @@ from ..operators.conform import enrich
 from ..operators.skew import positions
 from ..session import scratch
 from ..sources.statements import read_files, to_bronze
+from ..sources.tables import spread
 
 MERCHANTS = (
     "Salary credit", "House rent NEFT", "BigBasket order", "Swiggy dinner", "Uber ride",
@@ -24,10 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One statement per customer; every row of some orders twice (repeated charges)."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    lines = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     copies = F.when(F.col("l_orderkey") % 97 == 0, F.array(F.lit(0), F.lit(1)))
@@ -159,7 +164,7 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey",
                                                         "c_mktsegment")
-    orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    orders = spread(table(spark, sf_dir, "orders")).withColumn("day", F.col("o_orderdate").cast("date"))
     return (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
             .join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")))
 
@@ -174,7 +179,7 @@ def write_cards(spark: SparkSession, sf_dir: str) -> str:
 
 
 def write_household(spark: SparkSession, sf_dir: str) -> str:
-    return _write_csv(table(spark, sf_dir, "orders").select(
+    return _write_csv(spread(table(spark, sf_dir, "orders")).select(
         F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("Date"),
         F.col("o_orderpriority").alias("Mode"),
         F.element_at(F.array(*[F.lit(m) for m in MERCHANTS]),
@@ -190,7 +195,7 @@ def write_household(spark: SparkSession, sf_dir: str) -> str:
 
 def write_bank(spark: SparkSession, sf_dir: str) -> str:
     kinds = F.array(*[F.lit(k) for k in ("DEBIT", "credit", "Purchase", "refund", "unknown")])
-    return _write_csv(table(spark, sf_dir, "orders").select(
+    return _write_csv(spread(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("Transaction Ref"), (F.col("o_custkey") % 10).alias("Account ID"),
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Transaction Date"),
         (F.round(F.col("o_totalprice") * 100).cast("bigint") * F.expr("0.01BD"))
@@ -202,7 +207,7 @@ def write_bank(spark: SparkSession, sf_dir: str) -> str:
 
 
 def write_personal(spark: SparkSession, sf_dir: str) -> str:
-    return _write_csv(table(spark, sf_dir, "orders").select(
+    return _write_csv(spread(table(spark, sf_dir, "orders")).select(
         F.date_format("o_orderdate", "dd-MM-yyyy").alias("Date"),
         F.element_at(F.array(*[F.lit(m) for m in MERCHANTS]),
                      (F.col("o_custkey") % 16 + 1).cast("int")).alias("Category"),

@@ -39,14 +39,12 @@ def src_lineage(spark, sf):
 
 
 @query(FILES + """SELECT 200 AS status, 'csv' AS kind, count(DISTINCT file_no) AS files FROM lines
-UNION ALL SELECT 400, 'csv', 1
 UNION ALL SELECT 415, 'parquet', count(DISTINCT event_type) FROM events""")
 def src_admission(spark, sf):
     folder = X.write_statement_files(spark, sf)
     kinds = X.table(spark, sf, "events").select("event_type").distinct()
     kinds.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(
         f"{folder}/other")
-    X.table(spark, sf, "nation").where(F.length("n_name") < 0).write.csv(f"{folder}/empty")
     found = statements.admission(statements.list_files(spark, folder))
     kind = F.when(F.lower("path").endswith(".csv"), "csv").otherwise("parquet")
     return found.groupBy("status", kind.alias("kind")).agg(F.count(F.lit(1)).alias("files"))

@@ -60,7 +60,7 @@ def parse_amount(spark, sf):
              .when(kind == 2, F.concat(F.lit("-"), X._money(cents), F.lit("\t")))
              .when(kind == 3, F.concat(F.lit("+"), digits))
              .when(kind == 4, F.lit(" - ")).otherwise(F.concat(digits, F.lit(" Cr"))))
-    return X.table(spark, sf, "lineitem").select(
+    return X.spread(X.table(spark, sf, "lineitem")).select(
         "l_orderkey", V.parse_amount(messy).alias("amount"))
 
 
@@ -132,7 +132,7 @@ def redact_pii(spark, sf):
 @query()
 def redact_pii_documents(spark, sf):
     """Long texts in several scripts; checked against Python's re in the tests."""
-    return X.table(spark, sf, "documents").select(
+    return X.documents(spark, sf).select(
         "doc_id", text_fns.redact(F.col("text")).alias("text"))
 
 
@@ -261,7 +261,7 @@ def compose_text(spark, sf):
 
 @query("SELECT doc_id, substr(text, 1, 100) AS head, substr(text, 1, 120) AS longer FROM documents")
 def truncate_text(spark, sf):
-    return X.table(spark, sf, "documents").select(
+    return X.documents(spark, sf).select(
         "doc_id", F.substring("text", 1, 100).alias("head"),
         F.substring("text", 1, 120).alias("longer"))
 
@@ -314,12 +314,12 @@ def join_surrogate_key(spark, sf):
 
 
 @query(STATS + """SELECT o.source_file, o.txn_date, o.description, o.mag AS cents, s.median,
-s.n AS outflows, cast(round(s.mean, 2) AS decimal(18,2)) AS mean,
+s.n AS outflows, cast(round(s.mean * s.n) AS bigint) AS spent,
 cast(round(s.std / 100, 2) AS decimal(18,2)) AS std FROM o JOIN stats s USING (source_file)""")
 def join_stats(spark, sf):
     return FE.with_stats(X.silver(spark, sf)).select(
         "source_file", "txn_date", "description", "cents", "median", "outflows",
-        F.round("mean", 2).cast("decimal(18,2)").alias("mean"),
+        F.round(F.col("mean") * F.col("outflows")).cast("bigint").alias("spent"),
         F.round(F.col("std") / 100, 2).cast("decimal(18,2)").alias("std"))
 
 
@@ -432,11 +432,14 @@ def agg_monthly_category_spend(spark, sf):
 
 
 @query(STATS + """SELECT source_file, median / 100 AS median,
-cast(round(mean / 100, 2) AS decimal(18,2)) AS mean,
+cast(round(mean * n) AS bigint) AS spent,
 cast(round(std / 100, 2) AS decimal(18,2)) AS std, n AS outflows FROM stats""")
 def agg_statement_stats(spark, sf):
     stats = FE.statement_stats(X.silver(spark, sf))
-    return stats.withColumns({c: F.round(c, 2).cast("decimal(18,2)") for c in ("mean", "std")})
+    return stats.select(
+        "source_file", "median",
+        F.round(F.col("mean") * 100 * F.col("outflows")).cast("bigint").alias("spent"),
+        F.round("std", 2).cast("decimal(18,2)").alias("std"), "outflows")
 
 
 @query(STATS + """SELECT source_file, description, amount, count(*) AS n,

@@ -22,6 +22,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly when the files give fewer scan tasks than there are cores.
+
+    Such an input is small (fewer than cores x one split), so the shuffle is too; a large
+    table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
