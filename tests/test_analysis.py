@@ -88,13 +88,16 @@ def test_features(spark):
 
 
 def test_forest_flags_the_outlier_and_survives_saving(spark, tmp_path):
-    model = I.fit(FE.feature_matrix(ordinary(spark)), contamination=0.05)
+    # of 30 training rows three are themselves at the edge, hence a tenth and not less
+    model = I.fit(FE.feature_matrix(ordinary(spark)), contamination=0.1)
     watch = statement(spark, [(f"Coffee {i}", -(100 + i), i % 27 + 1, "shopping")
                               for i in range(10)]
                       + [("Luxury watch boutique", -95000, 15, "shopping")])
     found = I.model_anomalies(watch, model).collect()
     assert Decimal("-95000.00") in {t["amount"] for r in found for t in r["transactions"]}
     assert {r["type"] for r in found} == {"ml_outlier"}
+    scores = I.score(FE.feature_matrix(watch, keep=("row_idx",)), model).orderBy("score")
+    assert 10 in {r["row_idx"] for r in scores.limit(2).collect()}
     tiny = statement(spark, [("Coffee", -100, 1, None), ("Tea", -120, 2, None)])
     assert I.model_anomalies(tiny, model).count() == 0
     assert I.model_anomalies(watch, None).count() == 0
