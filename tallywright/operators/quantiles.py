@@ -68,6 +68,8 @@ def percentile_by(df: DataFrame, keys: list[str], value: str, p: float, name: st
     extra = [column.alias(alias) for alias, column in extra.items()]
     ordinary, hot = split_hot(df, keys, hot_rows)
     small = ordinary.groupBy(*keys).agg(F.percentile(value, p).alias(name), *extra)
+    if hot is None:
+        return small
     large = _by_bins(hot, keys, value, p, name)
     if extra:
         large = large.join(F.broadcast(hot.groupBy(*keys).agg(*extra)), keys)
@@ -89,6 +91,8 @@ def with_percentile(df: DataFrame, keys: list[str], value: str, p: float, name:
     near = ordinary.withColumns(
         {name: F.percentile(value, p).over(group),
          **{alias: column.over(group) for alias, column in extra.items()}})
+    if hot is None:
+        return near
     figures = _by_bins(hot, keys, value, p, name).join(
         hot.groupBy(*keys).agg(*[c.alias(a) for a, c in extra.items()]), keys)
     return near.unionByName(hot.join(F.broadcast(figures), keys))

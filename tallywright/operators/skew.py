@@ -1,9 +1,10 @@
 """Work on groups of which one may hold a large part of all rows.
 
 A group of at most ``HOT_ROWS`` rows may be sorted or buffered by a single task. Groups
-above that are split: there are at most ``rows / HOT_ROWS`` of them, so their keys (and
-one row of figures for each) can be broadcast, and their rows stay where they were read.
-With no hot group the broadcast is empty and adaptive execution drops the hot branch.
+above that are split: their keys are found first, by a count that is folded map side. There
+are at most ``rows / HOT_ROWS`` of them, so the keys (and one row of figures for each) can be
+broadcast, and their rows stay where they were read. Without a hot group the plan is the
+ordinary one.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -21,18 +22,31 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
     return sizes.where(F.col("_rows") > hot_rows).select(*keys)
 
 
+def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The hot keys, for broadcast; None when there are none. Runs the count."""
+    found = hot_groups(df, keys, hot_rows).collect()  # at most rows / hot_rows keys
+    if not found:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.select(*keys).schema))
+
+
 def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS):
-    """(rows of ordinary groups, rows of hot groups); neither side is shuffled."""
-    hot = F.broadcast(hot_groups(df, keys, hot_rows))
+    """(rows of ordinary groups, rows of hot groups or None); neither side is shuffled."""
+    hot = find_hot(df, keys, hot_rows)
+    if hot is None:
+        return df, None
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
 def anti_join(left: DataFrame, right: DataFrame, keys: list[str],
               hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of ``left`` without a partner; hot keys of ``left`` are checked by broadcast."""
-    hot = F.broadcast(hot_groups(left, keys, hot_rows))
+    hot = find_hot(left, keys, hot_rows)
     seen = right.select(*keys).distinct()
-    seen_hot = F.broadcast(seen.join(hot, keys, "left_semi"))
+    if hot is None:
+        return left.join(seen, keys, "left_anti")
+    # an inner join (hot keys are unique) stays above the distinct, so its shuffle is reused
+    seen_hot = F.broadcast(seen.join(hot, keys))
     ordinary = left.join(hot, keys, "left_anti").join(seen, keys, "left_anti")
     return ordinary.unionByName(
         left.join(hot, keys, "left_semi").join(seen_hot, keys, "left_anti"))
@@ -45,6 +59,8 @@ def keep_groups(df: DataFrame, keys: list[str], counted, at_least: int,
     n = F.count_if(counted)
     kept = (ordinary.withColumn("_kept", n.over(Window.partitionBy(*keys)))
             .where(F.col("_kept") >= at_least).drop("_kept"))
+    if hot is None:
+        return kept
     big = hot.groupBy(*keys).agg(n.alias("_kept")).where(F.col("_kept") >= at_least)
     return kept.unionByName(hot.join(F.broadcast(big.select(*keys)), keys, "left_semi"))
 
@@ -82,13 +98,11 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str,
         return _positions_by_range(df, [], by, name)
     window = Window.partitionBy(*keys).orderBy(*by)
     number = (F.row_number().over(window) - 1).cast("long")
-    found = hot_groups(df, keys, hot_rows).collect()  # at most rows / hot_rows keys
-    if not found:
-        return df.withColumn(name, number)
-    hot = F.broadcast(df.sparkSession.createDataFrame(found, df.select(*keys).schema))
-    ordinary = df.join(hot, keys, "left_anti").withColumn(name, number)
-    return ordinary.unionByName(
-        _positions_by_range(df.join(hot, keys, "left_semi"), keys, by, name))
+    ordinary, hot = split_hot(df, keys, hot_rows)
+    ordinary = ordinary.withColumn(name, number)
+    if hot is None:
+        return ordinary
+    return ordinary.unionByName(_positions_by_range(hot, keys, by, name))
 
 
 def running_total(df: DataFrame, key: str, position: str, value: str, name: str,

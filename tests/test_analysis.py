@@ -119,7 +119,7 @@ def test_forest_flags_about_the_contamination(spark):
     assert abs(I.training_metrics(scored).first()["outlier_rate"] - 0.03) < 0.01
 
 
-@pytest.mark.parametrize("p", [0.0, 0.03, 0.5, 0.95, 1.0])
+@pytest.mark.parametrize("p", [0.03, 0.5, 1.0])
 def test_percentiles_of_hot_groups_are_exact(spark, p):
     values = [(k, v * v * 7919 % (1 << 45) - (1 << 30)) for k, n in (("a", 301), ("b", 4), ("c", 1))
               for v in range(n)]
