@@ -30,3 +30,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     crf = language.fit(docs.where(fold(3) != 1))
     return language.predict(docs, crf).withColumn("held_out", fold(3) == 1).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import line_dedup
+
+    return line_dedup.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
