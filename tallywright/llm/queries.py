@@ -37,3 +37,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywright.llm import line_dedup
 
     return line_dedup.dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
+@_query
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import parity_join
+
+    return parity_join.classes(_read(spark, sf_dir, "documents"))
