@@ -44,3 +44,13 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywright.llm import parity_join
 
     return parity_join.classes(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import positional_index
+
+    found = positional_index.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(listed.cast("binary"), 256).alias("items_sha256"), "contaminated")
