@@ -18,6 +18,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """The public vocabulary file, where it is installed; never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def fold(modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
@@ -54,3 +61,11 @@ def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(listed.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@_query
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import packing
+
+    packed = packing.pack(_read(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
