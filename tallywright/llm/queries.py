@@ -69,3 +69,25 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = packing.pack(_read(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import compression
+
+    docs = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels").where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").alias("label"))
+    known = docs.select("doc_id", "text").where(fold(5) != 0).join(labels.where(fold(5) != 0).hint("shuffle_hash"), "doc_id")
+    scored = compression.score(docs, compression.fit(known.select("text", "label")))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import severity
+
+    docs = _read(spark, sf_dir, "documents")
+    labels = _read(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").alias("grade"))
+    known = docs.select("doc_id", "text").where(fold(5) != 0).join(labels.where(fold(5) != 0).hint("shuffle_hash"), "doc_id")
+    graded = severity.predict(docs, severity.fit(known.select("text", "grade")))
+    return graded.select("doc_id", (fold(5) == 0).alias("held_out"), "grade", "expected_severity", F.col("p_above").alias("p_toxic"), (F.col("p_above") >= 0.5).alias("toxic"))
