@@ -91,3 +91,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = docs.select("doc_id", "text").where(fold(5) != 0).join(labels.where(fold(5) != 0).hint("shuffle_hash"), "doc_id")
     graded = severity.predict(docs, severity.fit(known.select("text", "grade")))
     return graded.select("doc_id", (fold(5) == 0).alias("held_out"), "grade", "expected_severity", F.col("p_above").alias("p_toxic"), (F.col("p_above") >= 0.5).alias("toxic"))
+
+
+@_query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import html_text
+
+    return html_text.extract_pages(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
