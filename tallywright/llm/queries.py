@@ -98,3 +98,21 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywright.llm import html_text
 
     return html_text.extract_pages(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query
+def op5_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import threshold_search
+
+    return threshold_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+ORACLE["op5_threshold_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
