@@ -107,6 +107,17 @@ def op5_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+@_query
+def op9_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import lm_scoring
+
+    docs = _read(spark, sf_dir, "documents")
+    train = docs.where(fold(7) != 2)
+    counts = lm_scoring.count_tokens(train)
+    scored = lm_scoring.score(docs, lm_scoring.fit(train, counts), counts)
+    return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 ORACLE["op5_threshold_search"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
