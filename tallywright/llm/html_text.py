@@ -22,6 +22,7 @@ import math
 import re
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,8 +214,6 @@ def extract(html: str | None) -> str:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """`pages` with text and n_chars in place of html."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def main_text(html: pd.Series) -> pd.Series:
         return html.map(extract)
