@@ -9,9 +9,12 @@ is the join key. Candidates are held against the Hamming bound on their sketches
 against the sets themselves.
 
 Equal sets are one class with one representative before the join. In a key's group every member
-is paired with the least one only. Members that are not in one component afterwards are compared
-further (`_resolve`) until every two members of a group are in one component or were compared, so
-no link is lost and no group is expanded into all its pairs.
+is paired with the least one only. Where members of a group are in different components
+afterwards, those outside the group's commonest component (the strays) are compared with the
+members of other components: pair by pair in small groups, and in larger ones by sketches, block
+against block inside tasks that return only what passes the Hamming bound. So every two members
+of a group are in one component or were compared, no link is lost, and no group is expanded into
+all its pairs.
 
 Defined cases: null texts and texts without words have no set, n_shingles 0, and link with nothing;
 a text of fewer words than a shingle is one shingle; null ids take no part in links and stand for
@@ -20,23 +23,22 @@ themselves; repeated rows link as equal sets; other columns are not read.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright import session
 from tallywright.llm import graph
 from tallywright.llm import text as X
+from tallywright.llm.store import stored
 
-PIVOTS = 8
+#: Members of a group whose strays are paired in the plan; larger groups go block by block.
+SMALL_GROUP = 32
+BLOCK_ROWS = 2048
 #: Lists of ids up to this many rows (of 8 bytes) are broadcast; longer ones are shuffled.
 BROADCAST_IDS = 1 << 20
 
 
-@functools.lru_cache(4)
 def bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
     """Least sizes of the bands: a set linked with one of band i is in band i - 1, i or i + 1."""
     low = [1]
@@ -45,9 +47,8 @@ def bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-def parts_of(band: np.ndarray, percent: int) -> np.ndarray:
+def parts_of(low: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
     """Parts of a band's layout: one more than two sets that meet there can differ by."""
-    low = bands(percent)
     a = low[band + 1] - 1
     b = a * 100 // percent
     return (a + b) * (100 - percent) // (100 + percent) + 1
@@ -97,10 +98,11 @@ def _sets(n_words: int):
 
 
 def _keys(n_words: int, percent: int):
-    """doc_id, n, text -> doc_id, key: one row per part of the document's two band layouts."""
+    """doc_id, text -> doc_id, key, below, place: one row per part of the document's two layouts,
+    its own band's and that of the band below."""
+    low = bands(percent)
 
     def run(batches):
-        low = bands(percent)
         for batch in batches:
             for rows, data, bounds in X.slices(batch, "text", 1 << 19):
                 h, at = shingle_sets(data, bounds, n_words)
@@ -113,21 +115,22 @@ def _keys(n_words: int, percent: int):
                     if not len(use):
                         continue
                     parts = np.zeros(len(size), np.int64)
-                    parts[use] = parts_of(band[use], percent)
+                    parts[use] = parts_of(low, band[use], percent)
                     words, wat = sketch(h, at, parts)
                     row = X.rows_of(wat)
                     place = np.arange(len(words)) - wat[:-1][row]
                     seat = X.mix((band[row].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(X.mix(words ^ seat).view(np.int64))], names=["doc_id", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(X.mix(words ^ seat).view(np.int64)),
+                                                      pa.array(np.full(len(row), shift == 1)), pa.array(place.astype(np.int32))], names=["doc_id", "key", "below", "place"])
 
     return run
 
 
 def _packed(n_words: int, percent: int):
     """doc_id, text -> the set and its two sketches (own band, band below), for comparing."""
+    low = bands(percent)
 
     def run(batches):
-        low = bands(percent)
         for batch in batches:
             for rows, data, bounds in X.slices(batch, "text", 1 << 19):
                 h, at = shingle_sets(data, bounds, n_words)
@@ -135,14 +138,14 @@ def _packed(n_words: int, percent: int):
                 own = np.searchsorted(low, size, "right") - 1
                 columns = [rows.column(0), pa.array(own), X.ragged(h.view(np.int64), at)]
                 for shift in (0, 1):
-                    words, wat = sketch(h, at, np.where(size > 0, parts_of(np.maximum(own - shift, 0), percent), 0))
+                    words, wat = sketch(h, at, np.where(size > 0, parts_of(low, np.maximum(own - shift, 0), percent), 0))
                     columns.append(X.ragged(words.view(np.int64), wat))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "items", "sketch", "below"])
 
     return run
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of `docs` whose doc_id is (left_semi) or is not (left_anti) in `ids`; the texts stay
     where they are unless the list is long."""
     small = ids.count() <= BROADCAST_IDS
@@ -166,80 +169,104 @@ def _linked(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     return bounded.where(common * 100 >= (n_a + n_b - common) * percent).select("a", "b")
 
 
-def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, n_shingles, rep: the class of equal sets) of all documents with an id,
-    and links (a, b) between representatives, enough to connect all that are linked."""
-    spark = docs.sparkSession
+def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership (doc_id, n_shingles, rep: the class of equal sets) of all documents with an id;
+    links (a, b) between representatives, enough to connect all that are linked; and the linked
+    representatives' components (node, root)."""
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    path = session.scratch(spark, "shingle-classes")
-    sized = named.mapInArrow(_sets(n_words), "doc_id bigint, n bigint, sum_a bigint, sum_b bigint")
-    sized.write.parquet(path)
-    sized = spark.read.parquet(path)
+    sized = stored(named.mapInArrow(_sets(n_words), "doc_id bigint, n bigint, sum_a bigint, sum_b bigint"), "shingle-classes")
     same = ["n", "sum_a", "sum_b"]
     reps = sized.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     member = sized.join(reps, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
 
     # Copies carry the set of their representative and add nothing.
-    member = session.cut(member)
-    texts = _only(named, member.where("n_shingles > 0 and rep <> doc_id").select("doc_id"), "left_anti")
-    keys = texts.mapInArrow(_keys(n_words, percent), "doc_id bigint, key bigint")
-    from pyspark.sql import Window
-
+    member = stored(member, "shingle-classes")
+    texts = only(named, member.where("n_shingles > 0 and rep <> doc_id").select("doc_id"), "left_anti")
+    keys = texts.mapInArrow(_keys(n_words, percent), "doc_id bigint, key bigint, below boolean, place int")
     by_key = Window.partitionBy("key").orderBy("doc_id")
     met = keys.withColumn("pivot", F.first("doc_id").over(by_key)).withColumn("after", F.lead("doc_id").over(by_key))
-    met = session.cut(met.where("doc_id <> pivot or after is not null").select("key", "doc_id", "pivot"))
-    pairs = session.cut(met.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
-    wanted = session.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    packed_path = session.scratch(spark, "shingle-sets")
+    met = stored(met.where("doc_id <> pivot or after is not null").select("key", "doc_id", "below", "place", "pivot"), "meetings")
+    pairs = stored(met.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
     # The id's text may be in several rows: the members of a class are read once.
-    (_only(named, wanted, "left_semi").dropDuplicates(["doc_id"])
-     .mapInArrow(_packed(n_words, percent), "doc_id bigint, band bigint, items array<bigint>, sketch array<bigint>, below array<bigint>")
-     .write.parquet(packed_path))
-    packed = spark.read.parquet(packed_path)
-    found = session.cut(_linked(pairs, packed, percent))
-    return member, _resolve(met.select("key", "doc_id"), pairs, found, packed, percent)
-
-
-def _resolve(met: DataFrame, done: DataFrame, found: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a key's group that are in different components.
-
-    Each round compares, in every group that holds several components, the first `PIVOTS` members
-    that lie outside the group's commonest root and were not yet tried there with the group's
-    members in other components. A round is linear in the groups' sizes; a group is finished when
-    it is one component or all such members were tried.
-    """
-    from pyspark.sql import Window
-
-    tried = None
-    while True:
-        root = graph.components(found)
-        marked = met.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        open_keys = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        open_rows = session.cut(marked.join(open_keys.select("key"), "key"))
-        sizes = open_rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-        strays = open_rows.join(main, "key").where("root <> main").select("key", "doc_id", "root")
-        if tried is not None:
-            strays = strays.join(tried, ["key", "doc_id"], "left_anti")
-        chosen = session.cut(strays.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("i") <= PIVOTS).select("key", "doc_id", "root"))
-        if chosen.isEmpty():
-            return found
-        other = chosen.select("key", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
-        fresh = (open_rows.join(other, "key").where("root <> x_root")
-                 .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-                 .join(done, ["a", "b"], "left_anti"))
-        fresh = session.cut(fresh)
-        # Members met first in this round may lack a packed set only if no pair ever named them:
-        # every member of a group of two or more is in a pair with the group's least.
-        found = session.cut(found.union(_linked(fresh, packed, percent)))
-        done = session.cut(done.union(fresh))
-        now = chosen.select("key", "doc_id")
-        tried = now if tried is None else session.cut(tried.union(now))
+    packed = stored(only(named, wanted, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
+        _packed(n_words, percent), "doc_id bigint, band bigint, items array<bigint>, sketch array<bigint>, below array<bigint>"), "shingle-sets")
+    found = stored(_linked(pairs, packed, percent), "links")
+    return member, *_resolve(met, pairs, found, packed, percent)
+
+
+def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(np.uint64) for x in column]
+
+
+def _compared(percent: int):
+    """Strays against members of one group: the pairs within the Hamming bound. A pair is looked
+    at in the first part that is equal, and, if both sets are of one band, in that band's layout."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            words = _matrix(right.column("words"))
+            width = min(map(len, words))
+            alike = np.array([len(w) == width for w in words])
+            held = {c: right.column(c).to_numpy()[alike] for c in ("doc_id", "root", "n", "below", "stray", "pivot")}
+            member = np.stack([w for w, ok in zip(words, alike, strict=True) if ok])
+            mine = zip(*(left.column(c).to_pylist() for c in ("doc_id", "root", "n", "below", "place", "pivot")), _matrix(left.column("words")), strict=True)
+            for doc, root, n, below, place, pivot, own in mine:
+                if doc == pivot or len(own) != width:
+                    continue
+                # Of two strays the one with the greater id looks at the other.
+                use = np.flatnonzero((held["root"] != root) & (held["doc_id"] != held["pivot"]) & ~(held["below"] & below)
+                                     & (~held["stray"] | (held["doc_id"] < doc)))
+                apart = member[use] ^ own
+                first = (apart == 0).argmax(1) == place
+                use, apart = use[first], apart[first]
+                near = np.bitwise_count(apart).sum(1, dtype=np.int64) * (100 + percent) <= (held["n"][use] + n) * (100 - percent)
+                other = held["doc_id"][use[near]]
+                a.append(np.minimum(other, doc))
+                b.append(np.maximum(other, doc))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _resolve(met: DataFrame, done: DataFrame, found: DataFrame, packed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between members of a key's group that are in different components, added to those
+    found, and the components then."""
+    root = graph.components(found)
+    marked = met.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    marked = stored(marked, "meetings")
+    per_root = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
+    groups = per_root.groupBy("key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("main"))
+    groups = groups.where("members > main.n").select("key", "members", (F.col("members") - F.col("main.n")).alias("strays"), F.col("main.root").alias("main"))
+    rows = stored(marked.join(groups, "key").withColumn("stray", F.expr("root <> main")), "open-groups")
+
+    small = rows.where(F.col("members") <= SMALL_GROUP)
+    other = small.where("stray").select("key", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
+    pairs = small.join(other, "key").where("root <> x_root and doc_id <> pivot and x <> pivot and (not stray or doc_id < x)")
+    pairs = pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
+
+    large = rows.where(F.col("members") > SMALL_GROUP).join(packed.select("doc_id", F.size("items").cast("bigint").alias("n"), "sketch", F.col("below").alias("lower")), "doc_id")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    large = large.select("key", "doc_id", "root", "n", "below", "place", "pivot", "stray", "members", "strays", F.when(F.col("below"), F.col("lower")).otherwise(F.col("sketch")).alias("words"))
+    left = large.where("stray").withColumn("x", own("strays")).withColumn("y", every("members")).drop("members", "strays")
+    right = large.withColumn("y", own("members")).withColumn("x", every("strays")).drop("members", "strays")
+    right = right.toDF(*right.columns)  # apart from the left side's columns
+    near = left.groupBy("key", "x", "y").cogroup(right.groupBy("key", "x", "y")).applyInArrow(_compared(percent), "a bigint, b bigint")
+
+    fresh = stored(pairs.union(near).distinct().join(done, ["a", "b"], "left_anti"), "candidates")
+    new = stored(_linked(fresh, packed, percent), "links")
+    if new.isEmpty():
+        return found, root
+    found = stored(found.union(new), "links")
+    return found, graph.components(found)
 
 
 def classes(docs: DataFrame, n_words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every document."""
-    member, found = links(docs, n_words, percent)
-    root = graph.components(found).select(F.col("node").alias("rep"), "root")
+    member, _, root = links(docs, n_words, percent)
+    root = root.select(F.col("node").alias("rep"), "root")
     nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
     return member.join(root, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")).union(nameless)

@@ -50,7 +50,15 @@ ALNUM = _flags((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 #: ASCII letters, and all bytes of longer characters
 LETTER = _flags((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
-_powers: dict[str, np.ndarray] = {}
+
+class _Kept(dict):
+    """Tables made anew wherever they are used; they don't travel with functions."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers = _Kept()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
