@@ -77,7 +77,7 @@ def marginals(crf: Crf, emitted: np.ndarray, fresh: np.ndarray, lanes: int = 512
     incoming state, those are chained, and a second pass then has exact states in every lane.
     """
     n, k = emitted.shape
-    if not n:
+    if not n or not k:
         return emitted, emitted, emitted
     lanes = max(1, min(lanes, n // 8))
     size = -(-n // lanes)
@@ -246,19 +246,21 @@ def _judge(crf: Crf, data, bounds):
     return [crf.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)], np.clip(score, 0, 1), (starts, ends, at, p)
 
 
-def predict(docs: DataFrame, crf: Crf, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """`keep` columns of each row, lang_pred and score; reads nothing else but text."""
+def predict(docs: DataFrame, crf: Crf, keep: list[str] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep` columns of each row, and the language and score under `names`; text is read, and
+    nothing else has a say."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     keep = list(keep)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    source = "text" if "text" in keep else "__text"
 
     def label(batches):
         for batch in batches:
-            for rows, data, bounds in X.slices(batch, "__text"):
+            for rows, data, bounds in X.slices(batch, source):
                 lang, score, _ = _judge(shared.value, data, bounds)
-                yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(lang, pa.string()), pa.array(score)], names=[*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(label, schema)
+    return (docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))).mapInArrow(label, schema)
 
 
 def label_words(docs: DataFrame, crf: Crf) -> DataFrame:
