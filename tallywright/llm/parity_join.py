@@ -136,11 +136,11 @@ def _packed(n_words: int, percent: int):
                 h, at = shingle_sets(data, bounds, n_words)
                 size = np.diff(at)
                 own = np.searchsorted(low, size, "right") - 1
-                columns = [rows.column(0), pa.array(own), X.ragged(h.view(np.int64), at)]
+                columns = [rows.column(0), pa.array(own), pa.array(size), X.ragged(h.view(np.int64), at)]
                 for shift in (0, 1):
                     words, wat = sketch(h, at, np.where(size > 0, parts_of(low, np.maximum(own - shift, 0), percent), 0))
                     columns.append(X.ragged(words.view(np.int64), wat))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "items", "sketch", "below"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "n", "items", "sketch", "below"])
 
     return run
 
@@ -153,20 +153,22 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that pass the Hamming bound and then the exact comparison."""
+    """Those of pairs(a, b) that pass the Hamming bound and then the exact comparison. Sketches,
+    a tenth of the sets' size, go to the pairs first; sets go only to the pairs that are left."""
 
-    def side(name):
-        return packed.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("band", "items", "sketch", "below")])
+    def side(name, *columns):
+        return packed.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    n_a, n_b = F.size("a_items"), F.size("b_items")
+    sketched = ("band", "n", "sketch", "below")
+    both = pairs.join(side("a", *sketched), "a").join(side("b", *sketched), "b")
     # Both sketches in the layout of the lower band of the two.
     mine = F.when(F.col("a_band") <= F.col("b_band"), F.col("a_sketch")).otherwise(F.col("a_below"))
     yours = F.when(F.col("b_band") <= F.col("a_band"), F.col("b_sketch")).otherwise(F.col("b_below"))
     apart = F.aggregate(F.zip_with(mine, yours, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    bounded = both.where((F.abs(F.col("a_band") - F.col("b_band")) <= 1) & (apart * (100 + percent) <= (n_a + n_b) * (100 - percent)))
+    fits = (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
+    left = both.where(fits).select("a", "b", "a_n", "b_n").join(side("a", "items"), "a").join(side("b", "items"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
-    return bounded.where(common * 100 >= (n_a + n_b - common) * percent).select("a", "b")
+    return left.where(common * 100 >= (F.col("a_n") + F.col("b_n") - common) * percent).select("a", "b")
 
 
 def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -189,8 +191,11 @@ def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFra
     pairs = stored(met.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
     wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
     # The id's text may be in several rows: the members of a class are read once.
-    packed = stored(only(named, wanted, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
-        _packed(n_words, percent), "doc_id bigint, band bigint, items array<bigint>, sketch array<bigint>, below array<bigint>"), "shingle-sets")
+    texts = only(named, wanted, "left_semi")
+    if not member.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id"])
+    packed = stored(texts.mapInArrow(
+        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, items array<bigint>, sketch array<bigint>, below array<bigint>"), "shingle-sets")
     found = stored(_linked(pairs, packed, percent), "links")
     return member, *_resolve(met, pairs, found, packed, percent)
 
@@ -246,7 +251,7 @@ def _resolve(met: DataFrame, done: DataFrame, found: DataFrame, packed: DataFram
     pairs = small.join(other, "key").where("root <> x_root and doc_id <> pivot and x <> pivot and (not stray or doc_id < x)")
     pairs = pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
 
-    large = rows.where(F.col("members") > SMALL_GROUP).join(packed.select("doc_id", F.size("items").cast("bigint").alias("n"), "sketch", F.col("below").alias("lower")), "doc_id")
+    large = rows.where(F.col("members") > SMALL_GROUP).join(packed.select("doc_id", "n", "sketch", F.col("below").alias("lower")), "doc_id")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
