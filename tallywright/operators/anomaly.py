@@ -70,7 +70,7 @@ def duplicate_groups(transactions: DataFrame, scope: str | None = "source_file")
 def duplicates(transactions: DataFrame, scope: str | None = "source_file") -> DataFrame:
     cents = outflow_cents(F.col("amount"))
     message = F.concat(F.col("n").cast("string"), F.lit(" identical charges of "),
-                       grouped(cents / 100), F.lit(" for '"), F.col("description"), F.lit("'"))
+                       grouped(cents / 100), F.lit(" for '"), F.coalesce("description", F.lit("")), F.lit("'"))
     return duplicate_groups(transactions, scope).select(
         *scope_keys(scope), F.lit("possible_duplicate").alias("type"),
         F.when(cents > LARGE_FLOOR, "high").otherwise("medium").alias("severity"),
@@ -91,18 +91,18 @@ def members(anomalies: DataFrame) -> DataFrame:
 
 
 def without_rule_hits(model_hits: DataFrame, rule_hits: DataFrame,
-                      scope: str | None = "source_file", hot_rows: int = HOT_ROWS) -> DataFrame:
+                      scope: str | None = "source_file") -> DataFrame:
     """Model hits none of whose members is in a rule anomaly of the same scope. A model hit
     has one member, so this is an anti join on that member."""
     keys = [*scope_keys(scope), "date", "description", "amount"]
     first = F.get("transactions", 0)
     keyed = model_hits.withColumns({k: first[k] for k in keys[-3:]})
-    return anti_join(keyed, members(rule_hits), keys, hot_rows).select(*model_hits.columns)
+    return anti_join(keyed, members(rule_hits), keys).select(*model_hits.columns)
 
 
-def combine(rule_hits: DataFrame, model_hits: DataFrame, scope: str | None = "source_file",
-            hot_rows: int = HOT_ROWS) -> DataFrame:
-    return rule_hits.unionByName(without_rule_hits(model_hits, rule_hits, scope, hot_rows))
+def combine(rule_hits: DataFrame, model_hits: DataFrame,
+            scope: str | None = "source_file") -> DataFrame:
+    return rule_hits.unionByName(without_rule_hits(model_hits, rule_hits, scope))
 
 
 def count_by_type(anomalies: DataFrame) -> DataFrame:

@@ -58,12 +58,6 @@ def rejects(bronze: DataFrame) -> DataFrame:
             .select("source_file", "row_idx", "reason"))
 
 
-def rejected_files(bronze: DataFrame) -> DataFrame:
-    """Files refused as a whole: their header has no date or no description."""
-    return (rejects(bronze).where(F.col("reason") == "missing date or description column")
-            .select("source_file", "reason").distinct())
-
-
 def enrich(transactions: DataFrame) -> DataFrame:
     """Redact first, so that nothing later sees personal data; then category and flag."""
     clean = transactions.withColumn("description", redact(F.col("description")))

@@ -7,7 +7,7 @@ broadcast, and their rows stay where they were read. Without a hot group the pla
 ordinary one.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -38,31 +38,33 @@ def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS):
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
-def anti_join(left: DataFrame, right: DataFrame, keys: list[str],
-              hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows of ``left`` without a partner; hot keys of ``left`` are checked by broadcast."""
-    hot = find_hot(left, keys, hot_rows)
-    seen = right.select(*keys).distinct()
-    if hot is None:
-        return left.join(seen, keys, "left_anti")
-    # an inner join (hot keys are unique) stays above the distinct, so its shuffle is reused
-    seen_hot = F.broadcast(seen.join(hot, keys))
-    ordinary = left.join(hot, keys, "left_anti").join(seen, keys, "left_anti")
-    return ordinary.unionByName(
-        left.join(hot, keys, "left_semi").join(seen_hot, keys, "left_anti"))
+def same(left: list[Column], right: list[Column]) -> Column:
+    """All pairs equal, null as one value."""
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & a.eqNullSafe(b)
+    return out
 
 
-def keep_groups(df: DataFrame, keys: list[str], counted, at_least: int,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows of the groups in which at least ``at_least`` rows meet ``counted``."""
-    ordinary, hot = split_hot(df, keys, hot_rows)
-    n = F.count_if(counted)
-    kept = (ordinary.withColumn("_kept", n.over(Window.partitionBy(*keys)))
-            .where(F.col("_kept") >= at_least).drop("_kept"))
-    if hot is None:
-        return kept
-    big = hot.groupBy(*keys).agg(n.alias("_kept")).where(F.col("_kept") >= at_least)
-    return kept.unionByName(hot.join(F.broadcast(big.select(*keys)), keys, "left_semi"))
+def _renamed(keys: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"_other_{i}") for i, k in enumerate(keys)]
+
+
+def _meets(keys: list[str]) -> Column:
+    return same([F.col(k) for k in keys], [F.col(f"_other_{i}") for i in range(len(keys))])
+
+
+def anti_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``left`` without a partner, null keys compared as equal. The right side is
+    folded to its distinct keys, so a hot key of the left is split by the skew join."""
+    return left.join(right.select(*_renamed(keys)).distinct(), _meets(keys), "left_anti")
+
+
+def keep_groups(df: DataFrame, keys: list[str], counted, at_least: int) -> DataFrame:
+    """Rows of the groups in which at least ``at_least`` rows meet ``counted``. Groups are
+    counted map side first; their rows then meet one row per group, in parts where one is hot."""
+    big = df.groupBy(*keys).agg(F.count_if(counted).alias("_kept")).where(F.col("_kept") >= at_least)
+    return df.join(big.select(*_renamed(keys)), _meets(keys), "left_semi")
 
 
 def _positions_by_range(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:

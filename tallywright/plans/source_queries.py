@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.values import date_key
+from ..functions.values import date_key, strip
 from ..operators import conform as C
 from ..operators import star
 from ..session import scratch
@@ -39,22 +39,36 @@ def src_lineage(spark, sf):
 
 
 @query(FILES + """SELECT 200 AS status, 'csv' AS kind, count(DISTINCT file_no) AS files FROM lines
-UNION ALL SELECT 415, 'parquet', count(DISTINCT event_type) FROM events""")
+UNION ALL SELECT 415, 'parquet', count(DISTINCT event_type) FROM events
+UNION ALL SELECT CASE WHEN o_orderkey % 5 = 3 THEN 415 WHEN o_orderkey % 7 = 0 THEN 400
+  WHEN o_orderkey % 11 = 0 THEN 413 ELSE 200 END, CASE o_orderkey % 5 WHEN 0 THEN 'up.csv'
+  WHEN 1 THEN 'up.pdf' WHEN 2 THEN 'up.xlsx' WHEN 3 THEN 'up.exe' ELSE 'up.xls' END, count(*)
+FROM orders GROUP BY ALL""")
 def src_admission(spark, sf):
     folder = X.write_statement_files(spark, sf)
     kinds = X.table(spark, sf, "events").select("event_type").distinct()
     kinds.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(
         f"{folder}/other")
-    found = statements.admission(statements.list_files(spark, folder))
-    kind = F.when(F.lower("path").endswith(".csv"), "csv").otherwise("parquet")
+    # uploads as a gateway lists them, empty and oversized ones among them
+    ends = F.element_at(F.array(*[F.lit(e) for e in (".csv", ".PDF", ".xlsx", ".exe", ".xls")]),
+                        (F.col("o_orderkey") % 5 + 1).cast("int"))
+    length = (F.when(F.col("o_orderkey") % 7 == 0, 0).when(F.col("o_orderkey") % 11 == 0, 10 * 1024**2 + 1)
+              .otherwise(F.col("o_custkey") % 1000 + 1))
+    uploads = X.table(spark, sf, "orders").select(
+        F.concat(F.lit("up/"), F.col("o_orderkey").cast("string"), ends).alias("path"), length.cast("bigint").alias("length"))
+    found = statements.admission(statements.list_files(spark, folder).unionByName(uploads))
+    name = F.lower("path")
+    kind = (F.when(name.startswith("up/"), F.concat(F.lit("up."), F.regexp_extract(name, r"\.(\w+)$", 1)))
+            .when(name.endswith(".csv"), "csv").otherwise("parquet"))
     return found.groupBy("status", kind.alias("kind")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query(FILES + "SELECT file_no, place AS row_idx, raw_text AS text FROM lines WHERE layout = 1")
+@query(FILES + "SELECT file_no, place AS row_idx, raw_text AS text FROM lines")
 def src_row_idx(spark, sf):
-    rows = X.bronze(spark, sf).where(F.array_contains("columns", "Narration"))
-    return rows.select(F.col("source_file").alias("file_no"), "row_idx",
-                       F.get("cells", 2).alias("text"))
+    place = (F.when(F.array_contains("columns", "Narration"), 2)
+             .when(F.array_contains("columns", "Foo"), 0).otherwise(1))
+    return X.bronze(spark, sf).select(F.col("source_file").alias("file_no"), "row_idx",
+                                      F.get("cells", place).alias("text"))
 
 
 _ORDERS = """
@@ -136,17 +150,22 @@ def src_personal_finance(spark, sf):
 @query(FILES + """, u AS (
   SELECT file_no, place, raw_text, coalesce(raw_debit, raw_amount) AS figure, layout FROM lines)
 SELECT file_no, place AS row_idx, CASE WHEN layout = 0 THEN raw_text END AS description,
-       CASE WHEN layout = 1 THEN raw_text END AS narration FROM u WHERE layout IN (0, 1)""")
+       CASE WHEN layout = 1 THEN raw_text END AS narration,
+       CASE WHEN layout = 2 THEN raw_text END AS particulars,
+       CASE WHEN layout = 3 THEN raw_text END AS foo FROM u""")
 def sink_bronze_append(spark, sf):
     rows = X.bronze(spark, sf)
     path = scratch(spark, "bronze")
-    first = rows.where(F.array_contains("columns", "Description"))
-    tables.append(statements.spread(first, ["Date", "Description", "Debit", "Credit"]), path)
-    second = rows.where(F.array_contains("columns", "Narration"))
-    tables.append(statements.spread(second, ["Txn Date", "Narration", "Amount (INR)"]), path)
+    layouts = {"Description": ["Date", "Description", "Debit", "Credit"],
+               "Narration": ["Txn Date", "Narration", "Amount (INR)"],
+               "Particulars": ["Value Date", "Particulars", "Withdrawal Amt", "Deposit Amt"],
+               "Foo": ["Foo", "Bar"]}
+    for mark, names in layouts.items():
+        some = rows.where(F.array_contains(F.transform("columns", strip), mark))
+        tables.append(statements.spread(some, names), path)
     return tables.read_table(spark, path).select(
         F.col("source_file").alias("file_no"), "row_idx",
-        F.col("Description").alias("description"), F.col("Narration").alias("narration"))
+        *[F.col(name).alias(name.lower()) for name in layouts])
 
 
 @query(FILES + """SELECT file_no, place AS row_idx, txn_date, description, amount, category,

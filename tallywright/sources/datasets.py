@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import categorize, joined, redact
 from ..functions.values import (default_currency, expense_category, flow_sign, is_income,
                                 is_outflow, strip, year_month)
-from ..operators.skew import HOT_ROWS, keep_groups
+from ..operators.skew import keep_groups
 from ..schema import MONEY
 
 _TIMESTAMPS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy",
@@ -38,18 +38,17 @@ def _number(text: Column) -> Column:
     return strip(text).try_cast("double")
 
 
-def _finish(rows: DataFrame, group: list[Column], min_all: int, min_outflows: int,
-            hot_rows: int) -> DataFrame:
+def _finish(rows: DataFrame, group: list[Column], min_all: int, min_outflows: int) -> DataFrame:
     """source_file = the group's key; only groups with enough rows stay."""
     named = rows.select(
         F.concat_ws("/", *group).alias("source_file"), "txn_date", "description", "amount",
         default_currency(F.lit(None).cast("string")).alias("currency"), "category",
         is_outflow(F.col("amount")).alias("is_outflow"))
     counted = F.col("is_outflow") if min_outflows else F.lit(True)
-    return keep_groups(named, ["source_file"], counted, min_outflows or min_all, hot_rows)
+    return keep_groups(named, ["source_file"], counted, min_outflows or min_all)
 
 
-def cards_by_city(cards: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def cards_by_city(cards: DataFrame) -> DataFrame:
     """Card spending: Date (d-MMM-yy), City, Card Type, Exp Type, Amount; (city, month)
     with at least 5 rows. All rows are spending, in whole units."""
     text = F.concat(F.col("Exp Type"), F.lit(" spend "), F.col("Card Type"), F.lit(" card "),
@@ -62,10 +61,10 @@ def cards_by_city(cards: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     rows = rows.where(F.col("txn_date").isNotNull() & F.col("amount").isNotNull())
     rows = rows.withColumn(
         "category", expense_category(F.col("kind"), categorize(F.col("description"))))
-    return _finish(rows, [F.col("City"), year_month(F.col("txn_date"))], 5, 0, hot_rows)
+    return _finish(rows, [F.col("City"), year_month(F.col("txn_date"))], 5, 0)
 
 
-def household_daily(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def household_daily(ledger: DataFrame) -> DataFrame:
     """Household ledger: Date (day first), Mode, Category, Subcategory, Note, Amount,
     Income/Expense; (mode, month) with at least 5 outflows."""
     income = F.lower(strip(F.coalesce(F.col("`Income/Expense`"), F.lit("")))) == "income"
@@ -80,7 +79,7 @@ def household_daily(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
                       & F.col("Mode").isNotNull())
     rows = rows.withColumn("category", F.when(F.col("income"), F.lit("income"))
                            .otherwise(categorize(F.col("description"))))
-    return _finish(rows, [F.col("Mode"), year_month(F.col("txn_date"))], 0, 5, hot_rows)
+    return _finish(rows, [F.col("Mode"), year_month(F.col("txn_date"))], 0, 5)
 
 
 def _first_with(columns: list[str], *parts: str) -> str | None:
@@ -92,7 +91,7 @@ def _cell(frame: DataFrame, name: str | None) -> Column:
     return F.col(f"`{name}`") if name else F.lit(None).cast("string")
 
 
-def generic_bank(bank: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def generic_bank(bank: DataFrame) -> DataFrame:
     """Bank export whose columns are found by name: date, amount, type, description and
     account; (account, month) with at least 5 outflows. Empty when the layout has no date
     or no amount."""
@@ -117,10 +116,10 @@ def generic_bank(bank: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     if account:
         rows = rows.where(F.col("account").isNotNull())
     rows = rows.withColumn("category", categorize(F.col("description")))
-    return _finish(rows, [F.col("account"), year_month(F.col("txn_date"))], 0, 5, hot_rows)
+    return _finish(rows, [F.col("account"), year_month(F.col("txn_date"))], 0, 5)
 
 
-def personal_finance(money: DataFrame, run_date: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def personal_finance(money: DataFrame, run_date: str) -> DataFrame:
     """Personal ledger: amount, income/expense flag, category and notes found by name;
     a month with at least 3 outflows. Without a date column all rows form one group dated
     ``run_date``."""
@@ -144,7 +143,7 @@ def personal_finance(money: DataFrame, run_date: str, hot_rows: int = HOT_ROWS)
     rows = rows.withColumn("category", F.when(F.col("income"), F.lit("income"))
                            .otherwise(categorize(F.col("description"))))
     month = year_month(F.col("txn_date")) if day else F.lit("unknown")
-    return _finish(rows, [month], 0, 3, hot_rows)
+    return _finish(rows, [month], 0, 3)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

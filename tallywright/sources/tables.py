@@ -7,19 +7,33 @@ Nothing is gathered by bucket: rebalancing splits a bucket that one key has made
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.skew import anti_join
 from ..schema import CATEGORIES, DIM_CATEGORY
 from ..session import scratch
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _path(spark, path)
+    return files.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
+    files.delete(at, True)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, with the columns of all its files; None when nothing is there."""
-    try:
-        return spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException:
+    """The table, with the columns of all its files; None when nothing is there. A table that
+    is there and can't be read is an error."""
+    if not exists(spark, path):
         return None
+    return spark.read.option("mergeSchema", True).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -59,33 +73,62 @@ def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
+def _layout(spark: SparkSession, path: str) -> int | None:
+    """The number of buckets a table was laid out by, kept beside its data."""
+    at = f"{path}/_layout"
+    return spark.read.parquet(at).first()["buckets"] if exists(spark, at) else None
+
+
+def _write_buckets(df: DataFrame, path: str, mode: str) -> None:
+    (df.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").mode(mode)
+     .option("partitionOverwriteMode", "dynamic").parquet(path))
+
+
 def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Put the rows of ``df`` in place of all rows with the same keys. No rows: no change."""
+    """Put the rows of ``df`` in place of all rows with the same keys (null is a key too). No
+    rows: no change. A table laid out by another number of buckets is laid out anew."""
     spark = df.sparkSession
     staged = scratch(spark, "staged")
-    (_bucketed(df, key, buckets).hint("rebalance", F.col("bucket"))
-     .write.partitionBy("bucket").parquet(staged))
-    incoming = read_table(spark, staged)
-    if incoming is None or incoming.isEmpty():
-        return
+    try:
+        _write_buckets(_bucketed(df, key, buckets), staged, "error")
+        incoming = spark.read.schema(_bucketed(df, key, buckets).schema).parquet(staged)
+        if not incoming.isEmpty():
+            _load(incoming, path, key, buckets)
+    finally:
+        delete(spark, staged)
+
+
+def _load(incoming: DataFrame, path: str, key: str, buckets: int) -> None:
+    spark = incoming.sparkSession
     existing = read_table(spark, path)
-    touched = []
-    if existing is not None:
-        # keys only, folded before they meet; at most one number per bucket comes back
-        replaced = (existing.select("bucket", key).distinct()
-                    .join(incoming.select("bucket", key).distinct(), ["bucket", key]))
-        touched = [r["bucket"] for r in replaced.select("bucket").distinct().collect()]
+    if existing is None or _layout(spark, path) != buckets:
+        if existing is not None:
+            whole = anti_join(existing.drop("bucket"), incoming, [key]).unionByName(
+                incoming.drop("bucket"), allowMissingColumns=True)
+            moved = scratch(spark, "moved")
+            try:
+                _write_buckets(_bucketed(whole, key, buckets), moved, "error")
+                spark.read.parquet(moved).write.partitionBy("bucket").mode("overwrite").option(
+                    "partitionOverwriteMode", "static").parquet(path)
+            finally:
+                delete(spark, moved)
+        else:
+            _write_buckets(incoming, path, "append")
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/_layout")
+        return
+    # at most one number per bucket comes back; only those buckets of the table are looked at
+    brought = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]
+    here = existing.where(F.col("bucket").isin(brought))
+    keys = incoming.select(F.col(key).alias("_key")).distinct()
+    replaced = here.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    touched = [r["bucket"] for r in replaced.select("bucket").distinct().collect()]
     if touched:
-        here = F.col("bucket").isin(touched)
-        rewritten = anti_join(existing.where(here), incoming.where(here), [key]).unionByName(
-            incoming.where(here), allowMissingColumns=True)
-        copy = scratch(spark, "rewritten")
-        (rewritten.hint("rebalance", F.col("bucket"))
-         .write.partitionBy("bucket").parquet(copy))
-        (spark.read.parquet(copy).write.partitionBy("bucket").mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").parquet(path))
+        # written aside by the committer and moved in when all of it is there
+        old, new = here.where(F.col("bucket").isin(touched)), incoming.where(F.col("bucket").isin(touched))
+        _write_buckets(anti_join(old, new, [key]).unionByName(new, allowMissingColumns=True), path, "overwrite")
     rest = incoming.where(~F.col("bucket").isin(touched)) if touched else incoming
-    rest.write.partitionBy("bucket").mode("append").parquet(path)
+    _write_buckets(rest, path, "append")
 
 
 def replace_by_source(fact: DataFrame, path: str, buckets: int = 64) -> None:

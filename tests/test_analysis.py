@@ -66,7 +66,7 @@ def test_combine_drops_overlap(spark):
         F.lit("m").alias("message"), F.array(A.member(F.lit(1))).alias("transactions"))
     for hot in (0, skew.HOT_ROWS):
         kinds = sorted((r["type"], r["transactions"][0]["description"])
-                       for r in A.combine(A.detect(rows), hits, hot_rows=hot).collect())
+                       for r in A.combine(A.detect(rows, hot_rows=hot), hits).collect())
         assert kinds == [("large_transaction", "TV"), ("ml_outlier", "X"),
                          ("possible_duplicate", "Coffee")]
 
@@ -170,10 +170,34 @@ def test_positions_and_running_total_of_hot_groups(spark):
 def test_keep_groups(spark):
     df = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("b", 2), ("c", -1)],
                                "k string, v int")
-    for hot in (10, skew.HOT_ROWS):
-        kept = skew.keep_groups(df, ["k"], F.col("v") > 0, 2, hot)
-        assert {r["k"]: r["count"] for r in kept.groupBy("k").count().collect()} == {
-            "a": 50, "b": 2}
+    df = df.union(spark.createDataFrame([(None, 1), (None, 2)], df.schema))
+    kept = skew.keep_groups(df, ["k"], F.col("v") > 0, 2)
+    assert {r["k"]: r["count"] for r in kept.groupBy("k").count().collect()} == {
+        "a": 50, "b": 2, None: 2}
+
+
+def test_anti_join_takes_null_as_a_key(spark):
+    left = spark.createDataFrame([(None, 1), ("a", 2), ("b", None), ("c", 3)], "k string, v int")
+    right = spark.createDataFrame([(None, 1), ("b", None), ("b", None)], "k string, v int")
+    assert {tuple(r) for r in skew.anti_join(left, right, ["k", "v"]).collect()} == {("a", 2), ("c", 3)}
+
+
+def test_null_descriptions_in_anomalies(spark):
+    rows = spark.createDataFrame(
+        [("s", datetime.date(2024, 1, 1), None, -5.0, None)] * 2, "source_file string, txn_date date, description string, amount double, category string")
+    rows = rows.withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    rules = A.duplicates(rows)
+    assert [r["message"] for r in rules.collect()] == ["2 identical charges of 5 for ''"]
+    hits = rules.withColumn("type", F.lit("ml_anomaly"))
+    assert A.combine(rules, hits).count() == 1
+
+
+def test_ranked_categories_keep_unknown_ones_and_null(spark):
+    rows = spark.createDataFrame([("gifts",), ("dining",), (None,), ("gifts",)], "category string")
+    ranked = star.dim_category_ranked(rows)
+    assert {(r["category_key"], r["category_name"]) for r in ranked.collect()} == {(1, None), (2, "dining"), (3, "gifts")}
+    keyed = star.with_surrogate_key(rows, ranked)
+    assert sorted(r["category_key"] for r in keyed.collect()) == [1, 2, 3, 3]
 
 
 def test_labels(spark):

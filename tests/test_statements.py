@@ -62,7 +62,38 @@ def test_rejects(bronze):
     assert lost == {("bad.csv", 0): "missing date or description column",
                     ("other.csv", 1): "unrecognized date",
                     ("other.csv", 3): "more cells than columns"}
-    assert [r["source_file"] for r in C.rejected_files(bronze).collect()] == ["bad.csv"]
+
+
+def test_file_rejects(spark, folder, tmp_path):
+    files = statements.read_files(spark, folder)
+    assert [r["source_file"] for r in statements.file_rejects(files).collect()] == ["bad.csv"]
+    (tmp_path / "heads.csv").write_text("Foo,Bar\n")
+    (tmp_path / "blank.csv").write_text("\n\n")
+    (tmp_path / "open.csv").write_text('Date,Description,Amount\n2024-01-01,"TV,-1\n2024-01-02,x,-2\n')
+    (tmp_path / "good.csv").write_text("Date,Description,Amount\n2024-01-01,x,-1\n")
+    (tmp_path / "up.xlsx").write_text("x")
+    files = statements.read_files(spark, str(tmp_path))
+    assert {r["source_file"]: r["reason"] for r in statements.file_rejects(files).collect()} == {
+        "heads.csv": "missing date or description column", "blank.csv": "empty", "open.csv": "unclosed quote"}
+    assert {r["source_file"] for r in statements.to_bronze(files).collect()} == {"good.csv"}
+    listed = statements.list_files(spark, str(tmp_path))
+    assert [r["path"].rsplit("/", 1)[-1] for r in statements.unread(listed).collect()] == ["up.xlsx"]
+
+
+def test_a_quote_opens_only_at_the_start_of_a_cell(spark, tmp_path):
+    (tmp_path / "tv.csv").write_text('Date,Description,Amount\n2024-01-01,TV 42" LG,-100\n'
+                                     '2024-01-02,"a ""b"", c"x,-2\n2024-01-03,Coffee 5",-3\n,,\n2024-01-04,"",""\n')
+    rows = statements.to_bronze(statements.read_files(spark, str(tmp_path))).orderBy("row_idx").collect()
+    assert [r["cells"] for r in rows] == [
+        ["2024-01-01", 'TV 42" LG', "-100"], ["2024-01-02", 'a "b", cx', "-2"],
+        ["2024-01-03", 'Coffee 5"', "-3"], [None, None, None], ["2024-01-04", None, None]]
+
+
+def test_a_file_above_the_upload_limit_is_read(spark, tmp_path):
+    line = "2024-01-01,some description that is not short at all,-1\n"
+    n = 12 * 1024**2 // len(line)
+    (tmp_path / "big.csv").write_text("Date,Description,Amount\n" + line * n)
+    assert statements.to_bronze(statements.read_files(spark, str(tmp_path))).count() == n
 
 
 def test_row_idx_is_the_place_in_a_long_file(spark, tmp_path):
@@ -105,6 +136,19 @@ def test_replace_by_source(spark, tmp_path):
     assert tables.read_table(spark, path).count() == 3
 
 
+def test_replace_holds_for_any_layout_and_null_keys(spark, tmp_path, monkeypatch):
+    made = []
+    real = tables.scratch
+    monkeypatch.setattr(tables, "scratch", lambda *a: made.append(real(*a)) or made[-1])
+    path = str(tmp_path / "fact")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "source_file string, v int")
+    for buckets in (4, 7, 7, 1, 64):
+        tables.replace_by_source(rows, path, buckets)
+        got = tables.read_table(spark, path)
+        assert sorted((r["source_file"] or "", r["v"]) for r in got.collect()) == [("", 4), ("a", 1), ("b", 2), ("c", 3)]
+    assert made and not any(tables.exists(spark, folder) for folder in made)
+
+
 def test_upsert_last_wins(spark):
     store = spark.createDataFrame([("1", "old"), ("2", "keep")], "id string, m string")
     new = spark.createDataFrame([("1", "x", 1), ("1", "y", 2), ("3", "z", 3)],
