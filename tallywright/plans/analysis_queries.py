@@ -419,8 +419,8 @@ SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, cast(sum(c
 FROM w GROUP BY ALL""")
 def stream_rate(spark, sf):
     path = scratch(spark, "rate")
-    jobs.latest_result(jobs.rate(_event_files(spark, sf), "event_type"), path,
-                       jobs.checkpoint_path(spark))
+    jobs.window_result(jobs.rate(_event_files(spark, sf), "event_type"), path,
+                       jobs.checkpoint_path(spark), ["window_start", "event_type"])
     return tables.read_table(spark, path).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "event_type", "n")
@@ -431,8 +431,8 @@ cast(quantile_disc(value, 0.95) AS decimal(18,4)) AS p95 FROM events GROUP BY AL
 def stream_p95(spark, sf):
     """Approximate by design; exact while a window holds fewer values than the accuracy."""
     path = scratch(spark, "p95")
-    jobs.latest_result(jobs.percentile(_event_files(spark, sf), "event_type", "1 hour"), path,
-                       jobs.checkpoint_path(spark))
+    jobs.window_result(jobs.percentile(_event_files(spark, sf), "event_type", "1 hour"), path,
+                       jobs.checkpoint_path(spark), ["window_start", "event_type"])
     return tables.read_table(spark, path).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "event_type", F.col("value").cast("decimal(18,4)").alias("p95"))

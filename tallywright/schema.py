@@ -77,6 +77,7 @@ FLOW_SIGNS = {
 ADMITTED_SUFFIXES = (".csv", ".xlsx", ".xls", ".pdf")
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 
+# Saved models carry these names, in this order.
 FEATURES = (
     "log_amount", "amount_to_median_ratio", "amount_zscore", "is_round_amount", "day_of_week",
     "day_of_month", "is_weekend", "is_month_boundary", "desc_length", "desc_word_count",
