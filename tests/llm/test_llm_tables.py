@@ -173,3 +173,16 @@ def test_pipeline(spark, sf_dir):
         assert stage(spark, empty, sf_dir).count() == 0
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert packed and packed_well(packed, packing.Capacity())
+
+
+@pytest.mark.parametrize("name", ["op3_positional_index", "op5_threshold_search", "op10_parity_join"])
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    want = db.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
