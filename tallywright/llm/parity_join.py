@@ -4,9 +4,11 @@ A set of n shingles is XOR-hashed into `parts` words of 64 bits: each shingle fl
 part. A bit differs only if a shingle does, so the Hamming distance of two sketches is at most the
 size of the symmetric difference. Sets with Jaccard similarity >= 90/100 differ in at most
 (a + b) / 19 shingles; sizes are banded so that linked sets meet in one band's sketch layout, whose
-number of parts exceeds that bound. By the pigeonhole one part is then equal: (band, part, value)
-is the join key. Candidates are held against the Hamming bound on their sketches, and what is left
-against the sets themselves.
+number of parts exceeds that bound by `slack` and one. By the pigeonhole more than `slack` parts
+then have the same shingles: (band, part, XOR of the part's shingle hashes) is the join key. Empty
+parts are equal between strangers too, so a set with at most `slack` of them gives no keys for
+them: with any linked set it still shares a part that is not empty. Candidates are held against
+the Hamming bound on their sketches, and what is left against the sets themselves.
 
 Equal sets are one class with one representative before the join. In a key's group every member
 is paired with the least one only. Where members of a group are in different components
@@ -47,11 +49,22 @@ def bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-def parts_of(low: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
-    """Parts of a band's layout: one more than two sets that meet there can differ by."""
+def most_apart(low: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
+    """Most shingles that two linked sets can differ by if the smaller is of the band."""
     a = low[band + 1] - 1
-    b = a * 100 // percent
-    return (a + b) * (100 - percent) // (100 + percent) + 1
+    return (a + a * 100 // percent) * (100 - percent) // (100 + percent)
+
+
+def slack(apart: np.ndarray, percent: int) -> np.ndarray:
+    """Spare parts: several times the empty ones to be expected, and one."""
+    each = (100 + percent) / (2 * (100 - percent))  # shingles in a part
+    return 1 + (apart * 5 * np.exp(-each)).astype(np.int64)
+
+
+def parts_of(low: np.ndarray, band: np.ndarray, percent: int) -> np.ndarray:
+    """Parts of a band's layout; none if linked sets are equal there."""
+    apart = most_apart(low, band, percent)
+    return np.where(apart > 0, apart + 1 + slack(apart, percent), 0)
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,17 +83,25 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n_words: int) -> tuple[np
     return h[new], np.searchsorted(row[new], np.arange(len(per) + 1))
 
 
-def sketch(h: np.ndarray, bounds: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity sketches of sorted sets in layouts of `parts` parts each: words, rows' bounds."""
+def sketch(h: np.ndarray, bounds: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parity sketches of sorted sets in layouts of `parts` parts each: a word of parity bits, the
+    XOR of the shingle hashes and the number of shingles of every part, and the rows' bounds."""
     row = X.rows_of(bounds)
     # The high half of a hash picks the part, in order; the low bits pick the bit.
     part = ((h >> np.uint64(32)) * parts[row].astype(np.uint64)) >> np.uint64(32)
-    bit = np.uint64(1) << (X.mix(h) & np.uint64(63))
     at = np.concatenate([[0], np.cumsum(parts)])
-    flips = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(bit)]) if len(bit) else np.zeros(1, np.uint64)
+    used = parts[row] > 0
+    h, row, part = h[used], row[used], part[used]
     # Parts without shingles are words of zeros.
     edge = np.searchsorted(at[:-1][row] + part.astype(np.int64), np.arange(at[-1] + 1))
-    return flips[edge[1:]] ^ flips[edge[:-1]], at
+    mixed = X.mix(h)
+
+    def folded(values):
+        run = np.zeros(len(values) + 1, np.uint64)
+        np.bitwise_xor.accumulate(values, out=run[1:])
+        return run[edge[1:]] ^ run[edge[:-1]]
+
+    return folded(np.uint64(1) << (mixed & np.uint64(63))), folded(X.mix(mixed ^ np.uint64(0x5157))), np.diff(edge), at
 
 
 def _sets(n_words: int):
@@ -98,8 +119,8 @@ def _sets(n_words: int):
 
 
 def _keys(n_words: int, percent: int):
-    """doc_id, text -> doc_id, key, below, place: one row per part of the document's two layouts,
-    its own band's and that of the band below."""
+    """doc_id, text -> doc_id, key, seat: one row per part of the document's two layouts, its own
+    band's (even seats) and that of the band below (odd seats)."""
     low = bands(percent)
 
     def run(batches):
@@ -109,19 +130,17 @@ def _keys(n_words: int, percent: int):
                 size = np.diff(at)
                 own = np.searchsorted(low, size, "right") - 1
                 ids = rows.column(0).to_numpy(zero_copy_only=False)
-                for shift in (0, 1):
-                    band = own - shift
-                    use = np.flatnonzero((size > 0) & (band >= 0))
-                    if not len(use):
-                        continue
-                    parts = np.zeros(len(size), np.int64)
-                    parts[use] = parts_of(low, band[use], percent)
-                    words, wat = sketch(h, at, parts)
-                    row = X.rows_of(wat)
-                    place = np.arange(len(words)) - wat[:-1][row]
-                    seat = X.mix((band[row].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(X.mix(words ^ seat).view(np.int64)),
-                                                      pa.array(np.full(len(row), shift == 1)), pa.array(place.astype(np.int32))], names=["doc_id", "key", "below", "place"])
+                for below in (0, 1):
+                    band = np.maximum(own - below, 0)
+                    parts = np.where((size > 0) & (own >= below), parts_of(low, band, percent), 0)
+                    _, value, count, pat = sketch(h, at, parts)
+                    row = X.rows_of(pat)
+                    place = np.arange(len(value)) - pat[:-1][row]
+                    sparse = X.row_sums(count == 0, pat) > slack(most_apart(low, band, percent), percent)
+                    use = np.flatnonzero((count > 0) | sparse[row])
+                    where = X.mix((band[row].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[use]]), pa.array(X.mix(value ^ where)[use].view(np.int64)),
+                                                      pa.array((2 * place + below)[use].astype(np.int32))], names=["doc_id", "key", "seat"])
 
     return run
 
@@ -138,9 +157,9 @@ def _packed(n_words: int, percent: int):
                 own = np.searchsorted(low, size, "right") - 1
                 columns = [rows.column(0), pa.array(own), pa.array(size), X.ragged(h.view(np.int64), at)]
                 for shift in (0, 1):
-                    words, wat = sketch(h, at, np.where(size > 0, parts_of(low, np.maximum(own - shift, 0), percent), 0))
-                    columns.append(X.ragged(words.view(np.int64), wat))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "n", "items", "sketch", "below"])
+                    words, marks, _, wat = sketch(h, at, np.where(size > 0, parts_of(low, np.maximum(own - shift, 0), percent), 0))
+                    columns += [X.ragged(words.view(np.int64), wat), X.ragged(marks.view(np.int64), wat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "n", "items", "sketch", "marks", "below", "below_marks"])
 
     return run
 
@@ -184,10 +203,10 @@ def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFra
     # Copies carry the set of their representative and add nothing.
     member = stored(member, "shingle-classes")
     texts = only(named, member.where("n_shingles > 0 and rep <> doc_id").select("doc_id"), "left_anti")
-    keys = texts.mapInArrow(_keys(n_words, percent), "doc_id bigint, key bigint, below boolean, place int")
+    keys = texts.mapInArrow(_keys(n_words, percent), "doc_id bigint, key bigint, seat int")
     by_key = Window.partitionBy("key").orderBy("doc_id")
     met = keys.withColumn("pivot", F.first("doc_id").over(by_key)).withColumn("after", F.lead("doc_id").over(by_key))
-    met = stored(met.where("doc_id <> pivot or after is not null").select("key", "doc_id", "below", "place", "pivot"), "meetings")
+    met = stored(met.where("doc_id <> pivot or after is not null").select("key", "doc_id", "seat", "pivot"), "meetings")
     pairs = stored(met.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
     wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
     # The id's text may be in several rows: the members of a class are read once.
@@ -195,7 +214,7 @@ def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFra
     if not member.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id"])
     packed = stored(texts.mapInArrow(
-        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, items array<bigint>, sketch array<bigint>, below array<bigint>"), "shingle-sets")
+        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, items array<bigint>, sketch array<bigint>, marks array<bigint>, below array<bigint>, below_marks array<bigint>"), "shingle-sets")
     found = stored(_linked(pairs, packed, percent), "links")
     return member, *_resolve(met, pairs, found, packed, percent)
 
@@ -215,17 +234,18 @@ def _compared(percent: int):
             width = min(map(len, words))
             alike = np.array([len(w) == width for w in words])
             held = {c: right.column(c).to_numpy()[alike] for c in ("doc_id", "root", "n", "below", "stray", "pivot")}
-            member = np.stack([w for w, ok in zip(words, alike, strict=True) if ok])
-            mine = zip(*(left.column(c).to_pylist() for c in ("doc_id", "root", "n", "below", "place", "pivot")), _matrix(left.column("words")), strict=True)
-            for doc, root, n, below, place, pivot, own in mine:
+            member, marks = (np.stack([w for w, ok in zip(x, alike, strict=True) if ok]) for x in (words, _matrix(right.column("marks"))))
+            mine = zip(*(left.column(c).to_pylist() for c in ("doc_id", "root", "n", "below", "place", "pivot")), _matrix(left.column("words")), _matrix(left.column("marks")), strict=True)
+            for doc, root, n, below, place, pivot, own, own_marks in mine:
                 if doc == pivot or len(own) != width:
                     continue
                 # Of two strays the one with the greater id looks at the other.
                 use = np.flatnonzero((held["root"] != root) & (held["doc_id"] != held["pivot"]) & ~(held["below"] & below)
                                      & (~held["stray"] | (held["doc_id"] < doc)))
+                # The pair also meets in its other equal parts; the first that is not empty will do.
+                equal = (marks[use] == own_marks) & (own_marks != 0)
+                use = use[~equal.any(1) | (equal.argmax(1) == place)]
                 apart = member[use] ^ own
-                first = (apart == 0).argmax(1) == place
-                use, apart = use[first], apart[first]
                 near = np.bitwise_count(apart).sum(1, dtype=np.int64) * (100 + percent) <= (held["n"][use] + n) * (100 - percent)
                 other = held["doc_id"][use[near]]
                 a.append(np.minimum(other, doc))
@@ -251,11 +271,14 @@ def _resolve(met: DataFrame, done: DataFrame, found: DataFrame, packed: DataFram
     pairs = small.join(other, "key").where("root <> x_root and doc_id <> pivot and x <> pivot and (not stray or doc_id < x)")
     pairs = pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
 
-    large = rows.where(F.col("members") > SMALL_GROUP).join(packed.select("doc_id", "n", "sketch", F.col("below").alias("lower")), "doc_id")
+    large = rows.where(F.col("members") > SMALL_GROUP).join(packed.select("doc_id", "n", "sketch", "marks", F.col("below").alias("lower"), "below_marks"), "doc_id")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    large = large.select("key", "doc_id", "root", "n", "below", "place", "pivot", "stray", "members", "strays", F.when(F.col("below"), F.col("lower")).otherwise(F.col("sketch")).alias("words"))
+    below = F.col("seat") % 2 == 1
+    large = large.select("key", "doc_id", "root", "n", below.alias("below"), F.floor(F.col("seat") / 2).cast("int").alias("place"),
+                         "pivot", "stray", "members", "strays", F.when(below, F.col("lower")).otherwise(F.col("sketch")).alias("words"),
+                         F.when(below, F.col("below_marks")).otherwise(F.col("marks")).alias("marks"))
     left = large.where("stray").withColumn("x", own("strays")).withColumn("y", every("members")).drop("members", "strays")
     right = large.withColumn("y", own("members")).withColumn("x", every("strays")).drop("members", "strays")
     right = right.toDF(*right.columns)  # apart from the left side's columns

@@ -212,7 +212,7 @@ def test_hamming_distance_is_a_lower_bound():
     rng = np.random.default_rng(0)
     a = np.sort(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
     b = np.sort(np.concatenate([a[20:], rng.integers(0, 1 << 63, 15, dtype=np.uint64)]))
-    words, at = parity_join.sketch(np.concatenate([a, b]), np.array([0, 500, 995]), np.array([60, 60]))
+    words, _, _, at = parity_join.sketch(np.concatenate([a, b]), np.array([0, 500, 995]), np.array([60, 60]))
     assert np.bitwise_count(words[at[0]:at[1]] ^ words[at[1]:at[2]]).sum() <= 35
 
 
