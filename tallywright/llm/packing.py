@@ -27,7 +27,8 @@ from tallywright import session
 from tallywright.llm import text as X
 
 MAX_TOKENS = 2048
-_CACHED_WORDS = 1_500_000
+_CACHED_WORDS = 800_000
+_SLICE_BYTES = 1 << 18
 
 
 class Words:
@@ -119,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id
     def run(batches):
         words = _words_of(tokenizer)
         for batch in batches:
-            for rows, data, bounds in X.slices(batch, "text"):
+            for rows, data, bounds in X.slices(batch, "text", _SLICE_BYTES):
                 ids, at = words.encode(data, bounds)
                 at = at + np.arange(len(at))
                 all_ids = np.full(at[-1], end_id, np.int32)

@@ -206,7 +206,7 @@ def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFra
     keys = texts.mapInArrow(_keys(n_words, percent), "doc_id bigint, key bigint, seat int")
     by_key = Window.partitionBy("key").orderBy("doc_id")
     met = keys.withColumn("pivot", F.first("doc_id").over(by_key)).withColumn("after", F.lead("doc_id").over(by_key))
-    met = stored(met.where("doc_id <> pivot or after is not null").select("key", "doc_id", "seat", "pivot"), "meetings")
+    met = stored(met.where("doc_id <> pivot or after is not null").select("key", "doc_id", "seat", "pivot"), "meetings", release=True)
     pairs = stored(met.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
     wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidates")
     # The id's text may be in several rows: the members of a class are read once.
@@ -214,8 +214,8 @@ def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFra
     if not member.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id"])
     packed = stored(texts.mapInArrow(
-        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, items array<bigint>, sketch array<bigint>, marks array<bigint>, below array<bigint>, below_marks array<bigint>"), "shingle-sets")
-    found = stored(_linked(pairs, packed, percent), "links")
+        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, items array<bigint>, sketch array<bigint>, marks array<bigint>, below array<bigint>, below_marks array<bigint>"), "shingle-sets", release=True)
+    found = stored(_linked(pairs, packed, percent), "links", release=True)
     return member, *_resolve(met, pairs, found, packed, percent)
 
 

@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame
 from tallywright import session
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """`df` as a table. Spark removes a shuffle's files when the driver's garbage collector finds
+    its plan; `release` has it look now, where the files are large and more are to come."""
     path = session.scratch(df.sparkSession, name)
     df.write.parquet(path)
+    if release:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

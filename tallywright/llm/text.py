@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _mixed(n: int, seed: int) -> np.ndarray:
@@ -92,9 +92,12 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
     A null text counts as empty."""
     if not batch.num_rows:
         return
-    i = batch.schema.get_field_index(column)
-    text = pc.fill_null(batch.column(i).cast(pa.large_string()), "")
-    bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+    text = batch.column(batch.schema.get_field_index(column))
+    if text.null_count:
+        text = pc.fill_null(text, "")
+    # The column's own buffers: nothing is copied.
+    width = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    bounds = np.frombuffer(text.buffers()[1], width)[text.offset:text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(text):
