@@ -47,8 +47,6 @@ class Words:
         self.starts, self.words = np.zeros(1 << 12, np.int64), 0
 
     def _add(self, hashes: np.ndarray, words: list[str]) -> None:
-        if self.words + len(words) > _CACHED_WORDS:
-            self.forget()
         got = [e.ids for i in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((x for ids in got for x in ids), np.int32, int(size.sum()))
@@ -84,14 +82,16 @@ class Words:
         unique, first, back = np.unique(h, return_index=True, return_inverse=True)
         slot = self._find(unique)
         new = np.flatnonzero(slot < 0)
+        if len(new) and self.words + len(new) > _CACHED_WORDS:
+            # All of this text's words are encoded anew, so none is lost however many there are.
+            self.forget()
+            new = np.arange(len(unique))
         if len(new):
             raw = data.tobytes()
             self._add(unique[new], [raw[starts[i]:ends[i]].decode("utf-8", "replace") for i in first[new]])
             slot = self._find(unique)
-            if (slot < 0).any():  # the cache was emptied on the way
-                new = np.flatnonzero(slot < 0)
-                self._add(unique[new], [raw[starts[i]:ends[i]].decode("utf-8", "replace") for i in first[new]])
-                slot = self._find(unique)
+            if (slot < 0).any():
+                raise RuntimeError(f"{int((slot < 0).sum())} of {len(unique)} words have no token ids")
         word = slot[back]
         size = self.starts[word + 1] - self.starts[word]
         out = np.concatenate([[0], np.cumsum(size)])

@@ -54,6 +54,17 @@ def test_pieces_are_the_tokenizers(spark):
     assert sum(len(r["ids"]) for r in whole) == sum(len(r["ids"]) for r in got)
 
 
+def test_more_distinct_words_than_the_cache_holds(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHED_WORDS", 8)
+    words = packing.Words(queries.tokenizer())
+    texts = ["warm up text", " ".join(f"word{i} up" for i in range(40)), "text of word3", "warm " + " ".join(f"other{i}" for i in range(9))]
+    for group in ([t] for t in texts), (texts[:2], texts[2:]):
+        for some in group:
+            raw = [t.encode() for t in some]
+            ids, at = words.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x[:-1] for x in encoded(some)]
+
+
 def test_packing_of_table(spark, sf_dir):
     got = queries.op4_vector_packing(spark, sf_dir).collect()
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
