@@ -10,6 +10,12 @@ is the core; the least density on its path to the body is the threshold, and wha
 the core at that density or more belongs to it too. An article or main element around the core is
 taken whole. Elements that are boilerplate by their tag, role or class never count.
 
+A class or id is a weaker sign than a tag or role. A name that denies a word or says that something
+else is there (no-sidebar, with-ads) is none; ids are also anchors, so one marks only if all its words
+do, and never a heading or paragraph. A marked element stays if it contains a main or h1 element, an
+article while none stands outside marked elements, or the core of the page; a name of boilerplate
+words alone gives way to the core only where hardly any other text and no article is left.
+
 Character references are decoded, white space in a block becomes one space, blocks are joined by
 an empty line. Defined cases: null and empty pages, and pages without text, give an empty text;
 unclosed and stray tags follow the usual rules of browsers; repeated rows are extracted each;
@@ -21,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,17 +52,41 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb "
     "breadcrumbs sidebar footer masthead cookie cookies consent notice gdpr popup modal newsletter subscribe signup "
     "comment comments disqus respond share sharing social related widget pagination pager toolbar".split())
+#: Words that stand beside these in names of boilerplate and say nothing of the content.
+PLAIN = frozenset(
+    "area article aside bar block body bottom box button buttons class col column container content count desktop div element "
+    "entry footer form global google gpt header icons inner item items left link links list main mobile module outer page panel "
+    "post posts primary right row secondary section site slot status sticky thread top unit wrap wrapper".split())
+#: A name with one of these before a word of MARKS tells of another element, or of none.
+DENIES = frozenset("has have having hide hides no non not show shows with without".split())
+_ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _WORD = re.compile(r"[a-z]+")
 
 
+def _marked(tag: str, attrs) -> int:
+    """0: no class or id marks the element as boilerplate; 1: one does among other words; 2: one
+    that has no other words does."""
+    mark = 0
+    for k, v in attrs:
+        if not v or k != "class" and (k != "id" or tag in _ANCHORED):
+            continue
+        for name in v.lower().split():
+            words = _WORD.findall(name)
+            at = next((i for i, w in enumerate(words) if w in MARKS), None)
+            if at is None or not DENIES.isdisjoint(words[:at]):
+                continue
+            alone = all(w in MARKS or w in PLAIN for w in words)
+            if alone or k == "class":
+                mark = max(mark, 1 + alone)
+    return mark
+
+
 def _boilerplate(tag: str, attrs, inside_article: bool) -> bool:
     if tag in NEVER or tag == "header" and not inside_article:
         return True
     if tag in ("html", "body", "article", "main"):
-        return any(k == "class" and v and "comment" in _WORD.findall(v.lower()) for k, v in attrs) and tag == "article"
+        return tag == "article" and _marked(tag, [(k, " ".join(n for n in v.lower().split() if "comment" in _WORD.findall(n))) for k, v in attrs if k == "class" and v]) == 2
     for k, v in attrs:
-        if v and k in ("class", "id") and not MARKS.isdisjoint(_WORD.findall(v.lower())):
-            return True
         if k == "role" and v and v.strip().lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
             return True
     return False
@@ -66,7 +97,7 @@ class _Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.end, self.off = [-1], ["#root"], [0], [False]
+        self.parent, self.tag, self.end, self.off, self.mark = [-1], ["#root"], [0], [False], [0]
         self.open = [0]
         self.texts: list[tuple[int, str | None]] = []  # None: a block begins or ends here
 
@@ -103,6 +134,7 @@ class _Tree(HTMLParser):
         self.tag.append(tag)
         self.end.append(node + 1)
         self.off.append(self.off[up] or _boilerplate(tag, attrs, inside))
+        self.mark.append(0 if tag in ("html", "body", "article", "main") else _marked(tag, attrs))
         if tag in BLOCK:
             self.texts.append((node, None))
         if tag not in VOID:
@@ -131,9 +163,45 @@ def _tree(html: str) -> _Tree:
         tree.feed(re.sub(r"<!\[", "&lt;![", html))
         tree.close()
     tree._pop_to(0)
+    if any(tree.mark):
+        _drop_marked(tree)
     return tree
 
 
+def _drop_marked(tree: _Tree) -> None:
+    """Turn the marked elements off that are not kept by what they contain."""
+    n = len(tree.tag)
+    under, size, head, article = [False] * n, [0] * n, [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n):
+        under[i] = under[tree.parent[i]] or tree.mark[i] > 0
+        head[i + 1] = head[i] + (not tree.off[i] and tree.tag[i] in ("main", "h1"))
+        article[i + 1] = article[i] + (not tree.off[i] and tree.tag[i] == "article")
+    for node, said in tree.texts:
+        if said and not tree.off[node]:
+            size[node] += len(" ".join(said.split()))
+    apart = any(tree.tag[i] == "article" and not tree.off[i] and not under[i] for i in range(n))
+    beside = sum(c for c, u in zip(size, under, strict=True) if not u)
+    _, total = densities(tree)
+    inner = max(range(n), key=lambda i: (total[i], -i))
+    text = [0, *accumulate(size)]
+    # An element with nothing but text in it is no core: it is the part that holds nearly all of it.
+    i = inner + 1
+    while i < (tree.end[inner] or n):
+        if 11 * (text[tree.end[i]] - text[i]) > 10 * (text[tree.end[inner] or n] - text[inner]):
+            inner, i = i, i + 1
+        else:
+            i = tree.end[i]
+    held, i = set(), inner
+    while i > 0:
+        held.add(i)
+        i = tree.parent[i]
+    for i in range(1, n):
+        gone = tree.mark[i] > 0 and head[tree.end[i]] == head[i] and (apart or article[tree.end[i]] == article[i])
+        if gone and i in held:
+            gone = tree.mark[i] == 2 and (apart or beside * 10 >= text[tree.end[i]] - text[i])
+        tree.off[i] = tree.off[i] or tree.off[tree.parent[i]] or gone
+
+
 def densities(tree: _Tree) -> tuple[list[float], list[float]]:
     """Density and density sum of every element that is not boilerplate (others: 0)."""
     n = len(tree.tag)

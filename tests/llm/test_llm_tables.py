@@ -144,6 +144,28 @@ def test_page_text(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["container has-sidebar", "no-sidebar", "with-ads", "page no-comments", "sidebar", "layout sidebar-right", "widget"])
+def test_page_in_a_wrapper_with_a_marking_name(name):
+    long = "Some sentences of the article that go on for a while."
+    for attribute in ("class", "id"):
+        for body in (f"<article><h2>T</h2><p>{long}</p></article>", f"<main><h2>T</h2><p>{long}</p></main>", f"<div><h1>T</h1><p>{long}</p></div>", f"<h2>T</h2><p>{long}</p>"):
+            assert html_text.extract(f"<body><div {attribute}='{name}'>{body}<div class='sidebar'>aside</div></div></body>") == f"T\n\n{long}"
+        assert html_text.extract(f"<body><div {attribute}='{name}'>{long}</div></body>") == long
+
+
+def test_page_anchors_are_no_marks():
+    page = "<article><h2 id='related-work'>Related</h2><p id='notice-period'>Two months.</p><section id='market-share'><h3 id='share'>Share</h3><p>A third.</p></section>{}</article>"
+    text = "Related\n\nTwo months.\n\nShare\n\nA third."
+    assert html_text.extract(page.format("")) == text
+    for gone in ("<div class='social-share'>s</div>", "<section id='comments'><p>c</p></section>", "<div class='author-newsletter'>n</div>", "<div id='cookie-notice'>c</div>", "<article class='comment even'>c</article>"):
+        assert html_text.extract(page.format(gone)) == text
+    for stays in ("<article class='post comment-open'>c</article>", "<article class='no-comment'>c</article>"):
+        assert html_text.extract(page.format(stays)) == text + "\n\nc"
+    short, chat = "<p>A short article.</p>", "<p>A comment that says much more.</p>" * 20
+    assert html_text.extract(f"<body><article>{short}</article><div class='comments'>{chat}</div></body>") == "A short article."
+    assert html_text.extract(f"<body><main><article>{short}</article><div class='related'><article>Teaser</article></div></main></body>") == "A short article."
+
+
 def test_page_density_prefers_text_over_links():
     links = "".join(f"<p><a href=x{i}>some linked words {i}</a></p>" for i in range(30))
     prose = "".join(f"<p>Sentence number {i} says something at some length, as prose does.</p>" for i in range(6))
