@@ -256,6 +256,30 @@ def test_gru_gradients_and_scores():
         assert abs(got - want) < 1e-3
 
 
+def test_a_long_text_among_short_ones_is_not_laid_out_whole(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(gru, "WINDOW", 1024)  # fewer calls; a window is still small beside the text
+    rng = np.random.default_rng(6)
+    sizes = np.concatenate([rng.integers(0, 40, 300), [1_000_000], rng.integers(0, 40, 300)])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    symbols = rng.integers(0, 12, bounds[-1]).astype(np.int32)
+    g = gru.Gru(np.ones(12), 8, 4, 4)
+    seen = []
+    zeros = {k: np.zeros_like(v) for k, v in g.p.items()}
+    monkeypatch.setattr(g, "gradients", lambda x, y, fresh, live, h: (seen.append((int(live.sum()), int((fresh & live).sum()))), (zeros, h))[1])
+    tracemalloc.start()
+    got = g.score(symbols, bounds, 0)
+    g.train(symbols, bounds, 0, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+    assert np.sum(seen, 0).tolist() == [bounds[-1], (sizes > 0).sum()]
+    assert got[300] < -1_000_000 and (got[sizes == 0] == 0).all()
+    for i in (0, 7, 400):
+        assert abs(got[i] - g.score(symbols[bounds[i]:bounds[i + 1]], np.array([0, sizes[i]]), 0)[0]) < 1e-4
+
+
 def test_scores(spark, sf_dir, documents):
     got = {r["doc_id"]: r for r in queries.op9_gru_scoring(spark, sf_dir).collect()}
     want = brute.unigram(documents, lambda d: brute.fold(d, 7) != 2)
