@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.llm import text as X
+from tallywright.llm.store import drawn
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -203,19 +204,19 @@ def _runs(pieces: int, words_each: int):
 
 
 def fit(docs: DataFrame, per_language: int = 400, pieces: int = 6, words_each: int = 16) -> Crf:
-    """Fit on a bounded sample of labelled documents (text, non-null lang): about `per_language`
-    documents of each language, chosen by a hash of the text, give at most `pieces` runs of
+    """Fit on a bounded sample of labelled documents (text, non-null lang): at most `per_language`
+    different documents of each language, chosen by a hash of the text, give at most `pieces` runs of
     `words_each` words from all over them. The driver holds that sample and the weights only."""
     labelled = docs.select("text", "lang").where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Crf([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
     share = F.lit(0.0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / counts[lang]))).otherwise(share)
-    point = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = labelled.where(point < share).mapInArrow(_runs(pieces, words_each), "lang string, run binary").collect()
+    some = drawn(labelled, ["text"], share, per_language, ["lang"], apart=True).select("text", "lang")
+    rows = some.mapInArrow(_runs(pieces, words_each), "lang string, run binary").collect()
     known = {lang: i for i, lang in enumerate(languages)}
     runs = sorted((known[r["lang"]], bytes(r["run"])) for r in rows)
     return fit_sequences(languages, runs)

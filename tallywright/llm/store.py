@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from tallywright import session
 
@@ -15,3 +16,17 @@ def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     if release:
         df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drawn(rows: DataFrame, content: list[str], share: Column, most: int, also: list[str] = (), apart: bool = False, low: float = 0.0) -> DataFrame:
+    """A sample of `rows`: those whose point in 0..1, a hash of `content` (without nulls that many
+    rows share), lies in `low` and `share` upwards. Rows equal in `content` and `also` are drawn
+    once, and at most `most` rows are drawn in all, or (`apart`) of each value of `also`: the
+    bound holds whatever is repeated how often."""
+    names = rows.columns
+    point = F.pmod(F.col("__hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = rows.withColumn("__hash", F.xxhash64(*content)).where((point >= low) & (point < low + share)).dropDuplicates(["__hash", *also])
+    if not apart:
+        return some.orderBy("__hash", *also).limit(most).select(names)
+    seat = F.row_number().over(Window.partitionBy(*also).orderBy("__hash"))
+    return some.withColumn("__seat", seat).where(F.col("__seat") <= most).select(names)

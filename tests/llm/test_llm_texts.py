@@ -256,6 +256,28 @@ def test_gru_gradients_and_scores():
         assert abs(got - want) < 1e-3
 
 
+def test_samples_are_bounded_whatever_is_repeated(spark, monkeypatch):
+    unique = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id")).alias("text"))
+    point = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    low, high = (unique.where((point >= a) & (point < a + 0.02)).first()["text"] for a in (0.0, 0.5))
+    copies = spark.range(1000, 1800).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, low).otherwise(high).alias("text"))
+    nulls = spark.range(2000, 2600).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    docs = unique.union(copies).union(nulls).withColumn("lang", F.lit("en"))
+    seen = []
+    monkeypatch.setattr(gru.Gru, "train", lambda self, symbols, bounds, *_: seen.append(np.diff(bounds)))
+    lm_scoring.fit(docs, lm_scoring.count_tokens(docs), words=8, block=4, hidden=4, sample_docs=100)
+    assert 50 <= len(seen[0]) <= 100 and 10 <= (seen[0] == 1).sum() <= 50
+    monkeypatch.setattr(language, "fit_sequences", lambda languages, runs: seen.append(runs))
+    language.fit(docs, per_language=100)
+    assert 50 <= len(seen[1]) <= 100
+    real = compression.dictionary
+    monkeypatch.setattr(compression, "dictionary", lambda blocks: (seen.append(blocks), real(blocks))[1])
+    monkeypatch.setattr(compression, "curve", lambda x, y: (seen.append(x), ((0.0, 1.0), (0.0, 1.0)))[1])
+    labelled = docs.select("text", (F.length("text") % 2).alias("label"))
+    compression.fit(labelled.union(labelled.select("text", 1 - F.col("label"))), per_label=100, for_curve=100)
+    assert all(10 <= len(x) <= 100 for x in seen[2:4]) and 20 <= len(seen[4]) <= 100
+
+
 def test_a_long_text_among_short_ones_is_not_laid_out_whole(monkeypatch):
     import tracemalloc
 
