@@ -2,8 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All stages but the last return the columns of `documents`.
-Documents without an id can't be named by a decision: they pass the near-duplicate and the
-decontamination stages.
+The near-duplicate and the decontamination stages decide on rows, not on ids: they write a row id
+beside the documents first and drop it at their end, so documents without an id, or that share one,
+are each decided on. Line deduplication cuts rows equal in id and text alike; the copies go in the
+next stage.
 """
 
 from __future__ import annotations
@@ -19,9 +21,21 @@ from tallywright.llm.store import stored
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    names = docs.columns
-    return parity_join.only(docs, stored(ids.select("doc_id").distinct(), "decisions"), "left_anti").select(names)
+ROW = "__row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """`docs` with a row id, written down so that it is the same each time it is read."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    names = [c for c in rows.columns if c != ROW]
+    return parity_join.only(rows, stored(gone.select(ROW), "decisions"), "left_anti", on=ROW).select(names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,17 +52,22 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by sets of five-word shingles, at 0.8 or more, the least id stays."""
-    grouped = stored(parity_join.classes(docs, n_words=5, percent=80), "near-duplicates")
-    kept = _without(docs, grouped.where("doc_id <> component_id"))
-    again = grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Of each group linked by sets of five-word shingles, at 0.8 or more, the least id stays (a row
+    without an id only where no row has one)."""
+    rows = _rows(docs)
+    grouped = stored(parity_join.classes(_by_row(rows), n_words=5, percent=80).select(F.col("doc_id").alias(ROW), "component_id"), "near-duplicates")
+    # A component's id is its least row: with another row in it there is something to decide.
+    several = grouped.where(F.col(ROW) != F.col("component_id")).select("component_id").distinct()
+    members = stored(grouped.join(several, "component_id", "left_semi").join(rows.select(ROW, "doc_id"), ROW), "near-duplicates")
+    least = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).getField(ROW).alias("__least"))
+    return _without(rows, members.join(least, "component_id").where(F.col(ROW) != F.col("__least")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that passages of the benchmark contaminate go."""
-    found = positional_index.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated"))
+    rows = _rows(docs)
+    found = positional_index.decontaminate(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

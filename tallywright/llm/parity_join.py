@@ -164,11 +164,11 @@ def _packed(n_words: int, percent: int):
     return run
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of `docs` whose doc_id is (left_semi) or is not (left_anti) in `ids`; the texts stay
+def only(docs: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
+    """Rows of `docs` whose doc_id (or `on`) is (left_semi) or is not (left_anti) in `ids`; the texts stay
     where they are unless the list is long."""
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(ids.hint("broadcast" if small else "shuffle_hash"), "doc_id", how)
+    return docs.join(ids.hint("broadcast" if small else "shuffle_hash"), on, how)
 
 
 def _linked(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:

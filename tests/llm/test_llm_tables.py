@@ -208,6 +208,25 @@ def test_pipeline(spark, sf_dir):
     assert packed and packed_well(packed, packing.Capacity())
 
 
+def test_pipeline_decides_on_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    a, b = ("clean words of one kind " + " ".join(f"{k}{i}" for i in range(60)) for k in "xy")
+    table = [(None, a), (None, a), (7, a), (8, b), (8, "other " + " ".join(f"z{i}" for i in range(60))), (None, item), (9, item), (9, b + " more"), (None, None)]
+    table = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in table], "doc_id bigint, text string, lang string, source string, n_chars bigint").select(docs.columns)
+    near = stages["near_duplicates"](spark, table, sf_dir)
+    assert near.columns == docs.columns
+    key = lambda r: (r["doc_id"] or 0, (r["text"] or "")[:6])
+    assert sorted(map(key, near.collect())) == sorted([(7, a[:6]), (8, b[:6]), (8, "other "), (9, item[:6]), (0, "")])
+    clean = stages["decontamination"](spark, table, sf_dir).collect()
+    assert sorted(map(key, clean)) == sorted([(0, a[:6]), (0, a[:6]), (7, a[:6]), (8, b[:6]), (8, "other "), (9, b[:6]), (0, "")])
+    nameless = spark.createDataFrame([(None, a, "en", "s", 1)] * 3, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(docs.columns)
+    assert stages["near_duplicates"](spark, nameless, sf_dir).count() == 1
+
+
 @pytest.mark.parametrize("name", ["op3_positional_index", "op5_threshold_search", "op10_parity_join"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     import duckdb
