@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from tallywright.llm import html_text, packing, queries, threshold_search  # noqa: E402
+from tallywright.llm import html_text, packing, queries, threshold_search, tokens  # noqa: E402
 
 AWKWARD = [(1, None), (2, ""), (3, "  \n"), (4, "Some words, some <|endoftext|> 42!"), (4, "Some words, some <|endoftext|> 42!"), (None, "no id"), (5, "long " * 5000), (6, "été 中文 \U0001f600é")]
 
@@ -54,10 +54,12 @@ def test_pieces_are_the_tokenizers(spark):
     assert sum(len(r["ids"]) for r in whole) == sum(len(r["ids"]) for r in got)
 
 
-def test_more_distinct_words_than_the_cache_holds(monkeypatch):
-    monkeypatch.setattr(packing, "_CACHED_WORDS", 8)
-    words = packing.Words(queries.tokenizer())
-    texts = ["warm up text", " ".join(f"word{i} up" for i in range(40)), "text of word3", "warm " + " ".join(f"other{i}" for i in range(9))]
+@pytest.mark.parametrize("cached", [0, 8, 10**6])
+def test_more_distinct_words_than_the_cache_holds(cached):
+    words = tokens.Words(queries.tokenizer(), cached)
+    odd = ["Don't stop, it's l'été: «oui», (no)!? 3.14% a_b-c", "ÉTÉ×3 x÷y é. É! où?! 中文。", "<|endoftext|>, <|ENDOFTEXT|> word<|endoftext|>. a<b <", "ROCK'N'ROLL's, 'tis; don't. we'LL!", "e\u0301 cafe\u0301! ＡＢ １２, \u212a \u0130 ſ", "a...b!!c (d) [e] {f} ~g~ `h` ^i"]
+    texts = [*odd, *(o.swapcase() for o in odd), "warm up text", " ".join(f"word{i} up" for i in range(40)), "text of word3", "warm " + " ".join(f"other{i}" for i in range(9))]
+    texts *= 2
     for group in ([t] for t in texts), (texts[:2], texts[2:]):
         for some in group:
             raw = [t.encode() for t in some]
