@@ -118,6 +118,13 @@ def op9_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywright.llm import structure_repair
+
+    return structure_repair.repair(structure_repair.damaged(_read(spark, sf_dir, "conversations")))
+
+
 @_query
 def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywright.llm import window_packing

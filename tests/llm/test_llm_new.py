@@ -1,6 +1,10 @@
 """Window packing, hard negatives and conversation repair."""
 
+import collections
+import hashlib
+import itertools
 import os
+import re
 import sys
 import zlib
 
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-from tallywright.llm import queries, window_packing  # noqa: E402
+from tallywright.llm import queries, structure_repair, window_packing  # noqa: E402
 from test_llm_tables import AWKWARD  # noqa: E402
 
 
@@ -127,3 +131,170 @@ def test_window_packing_of_table(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     padding = checked(rows, docs, 4096, 2, 16)
     assert padding < 0.005 * sum(r["length"] for r in rows)
+
+
+def damaged(rows):
+    """conv -> its turns (turn, role, text) in order, as the contract damages them."""
+    out = {}
+    for conv, turn, role, text in rows:
+        mine = out.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        mine += [(turn, role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    digest = lambda r, t: hashlib.sha256(f"{len(r)}:{r}{t}".encode()).digest()
+    return {c: sorted(m, key=lambda x: (x[0] is not None, x[0] or 0, x[1], digest(x[1], x[2]))) for c, m in out.items()}
+
+
+def cheapest(turns):
+    """(cost, audit, repaired turns), from the last turn to the first, over whole strings."""
+    name = {"u": "user", "a": "assistant"}
+    due = dict(zip("esua", "uuau", strict=True))
+
+    def inserted(b):
+        for _ in range(4):
+            for state in "esua":
+                if due[state] in b:
+                    c, s, r = b[due[state]]
+                    b[state] = min(b.get(state, (9**9,)), (3 + c, "I" + s, [(name[due[state]], ""), *r]))
+        return b
+
+    best = inserted({"e": (0, "", []), "a": (0, "", [])})
+    for role, text, gone, cut in reversed(turns):
+        now = {}
+        for state in "esua":
+            ways = []
+            if state in best:
+                c, s, r = best[state]
+                ways.append((4 + c, "D" + s, r))
+            if not gone and due[state] in best:
+                c, s, r = best[due[state]]
+                ways.append((3 + 3 * cut + c, "R" + s, [(name[due[state]], text), *r]))
+            if not gone and (role[:1] == due[state] or (state == "e" and role[:1] == "s")) and role[:1] in best:
+                c, s, r = best[role[:1]]
+                ways.append((3 * cut + c, "K" + s, [(role, text), *r]))
+            if ways:
+                now[state] = min(ways)
+        best = inserted(now)
+    return best["e"]
+
+
+def reported(turns):
+    """What is due for one conversation's turns."""
+    seen, marked, count = set(), [], collections.Counter()
+    for _, role, text in turns:
+        solid = re.findall(r"[^\x20\x09-\x0D]", text)
+        fault = "blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else "none"
+        seen.add((role, text))
+        count[fault] += 1
+        marked.append((role, text, fault in ("blank", "duplicate"), fault == "truncated"))
+    known = [t for t, _, _ in turns if t is not None]
+    gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:], strict=False))
+    cost, audit, made = cheapest(marked)
+    sha = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in made).encode()).hexdigest()
+    return (gaps, count["blank"], count["duplicate"], count["truncated"], illegal, cost, audit, sha), made
+
+
+def all_audits(turns, most):
+    """(cost, audit) of every repair with at most `most` edits, by trying every string."""
+    for n in range(most + 1):
+        for audit in itertools.product("DIKR", repeat=n):
+            at, state, cost = 0, "e", 0
+            for edit in audit:
+                due = "a" if state == "u" else "u"
+                if edit != "I":
+                    if at == len(turns):
+                        break
+                    initial, gone, cut = turns[at]
+                    at += 1
+                    if edit == "D":
+                        cost += 4
+                        continue
+                    cost += 3 * cut
+                    if gone or (edit == "K" and initial != due and (state, initial) != ("e", "s")):
+                        break
+                    state, cost = (initial, cost) if edit == "K" else (due, cost + 3)
+                else:
+                    state, cost = due, cost + 3
+            else:
+                if at == len(turns) and state in "ea":
+                    yield cost, "".join(audit)
+
+
+def test_repair_is_the_least_of_all_audits():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        turns = [(str(rng.choice(list("suaat"))), bool(rng.random() < 0.2), bool(rng.random() < 0.3)) for _ in range(int(rng.integers(0, 4)))]
+        want = min(all_audits(turns, 6))
+        assert structure_repair.join([[structure_repair.solve(turns)]]) == want
+        assert cheapest([(i, "x", g, c) for i, g, c in turns])[:2] == want
+
+
+def test_parts_join_to_the_whole():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        turns = [(str(rng.choice(list("suuaa"))), bool(rng.random() < 0.2), bool(rng.random() < 0.3)) for _ in range(int(rng.integers(1, 60)))]
+        at = sorted({0, len(turns), *rng.integers(0, len(turns) + 1, 3).tolist()})
+        parts = [[structure_repair.solve(turns[a:b], e) for e in range(4)] for a, b in zip(at, at[1:], strict=False)]
+        assert structure_repair.join(parts) == structure_repair.join([[structure_repair.solve(turns)]]) == cheapest([(i, "x", g, c) for i, g, c in turns])[:2]
+
+
+@pytest.mark.parametrize("base", [structure_repair._BASE, 0])
+def test_histories(monkeypatch, base):
+    """Also with a hash that collides always: equality is verified."""
+    monkeypatch.setattr(structure_repair, "_BASE", base)
+    rng = np.random.default_rng(5)
+    tree, text = structure_repair.Histories(), [""]
+    for _ in range(400):
+        node, edit = int(rng.integers(max(0, len(text) - 9), len(text))), str(rng.choice(list("DIKR")))
+        if text[node] + edit not in text:
+            assert tree.extend(node, edit) == len(text)
+            text.append(text[node] + edit)
+    for _ in range(800):
+        a, b = rng.integers(0, len(text), 2).tolist()
+        assert tree.edits(a) == text[a]
+        common = os.path.commonprefix([text[a], text[b]])
+        assert tree.common(a, b) == len(common)
+        x, y = rng.choice(list("DIKR"), 2).tolist()
+        if (text[a] + x) != (text[b] + y):
+            assert tree.less(a, x, b, y) == (text[a] + x < text[b] + y)
+
+
+def conversation_rows():
+    rng = np.random.default_rng(6)
+    texts = ["Fine.", "Fine.", "Is it?", "cut off", "", " \n", None, "Done! \t\n", "été…", "x."]
+    rows = [(c, t, str(rng.choice(["system", "user", "assistant", "tool", "", "user"])), texts[int(rng.integers(0, len(texts)))]) for c in range(40) for t in range(int(rng.integers(1, 9)))]
+    rows += [(900, int(t), ["user", "assistant"][t % 2], f"turn {t % 37}." if t % 5 else "no end") for t in range(700)]  # one long conversation
+    rows += [(901, 3, "user", "The same.")] * 200 + [(902, None, None, None), (None, 1, "user", "Hello."), (None, None, "assistant", "Yes."), (None, 1, "user", "Hello.")]
+    rows += [(903, 0, "user", "x" * 300_000 + "."), (903, 10, "assistant", "y" * 300_000), (904, -(2**63), "user", "a."), (904, 2**63 - 1, "assistant", "b.")]
+    rows += [(905, 2, "user", "tie."), (905, 2, "assistant", "tie."), (905, 2, "user", "other."), (906, None, "system", "s."), (906, None, "user", "u."), (906, 4, "assistant", "a.")]
+    return rows
+
+
+def test_repair_awkward(spark, monkeypatch):
+    rows = conversation_rows()
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("id", F.lit("x")).withColumn("conv", F.lit(1)).withColumn("kind", F.lit("k")).repartition(5)
+    want = {c: reported(t) for c, t in damaged(rows).items()}
+    for turns in (50_000, 20):
+        monkeypatch.setattr(structure_repair, "_TURNS", turns)
+        hurt = structure_repair.damaged(table)
+        got = {r["conv_id"]: tuple(r)[1:] for r in structure_repair.repair(hurt).collect()}
+        assert got == {c: (min(r[0], 2**63 - 1), *r[1:]) for c, (r, _) in want.items()}
+        made = {}
+        for r in structure_repair.repaired_turns(hurt).collect():
+            made.setdefault(r["conv_id"], []).append((r["position"], r["role"], r["text"]))
+        assert {c: [x[1:] for x in sorted(m)] for c, m in made.items()} == {c: m for c, (_, m) in want.items() if m}
+    assert structure_repair.repair(structure_repair.damaged(table.limit(0))).count() == 0
+
+
+def test_repair_of_table(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    want = {c: reported(t)[0] for c, t in damaged(rows).items()}
+    got = queries.op12_structure_repair(spark, sf_dir).collect()
+    assert len(got) == len(want) and {r["conv_id"]: tuple(r)[1:] for r in got} == want
