@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-from tallywright.llm import queries, structure_repair, window_packing  # noqa: E402
+from tallywright.llm import hard_negatives, queries, structure_repair, window_packing  # noqa: E402
 from test_llm_tables import AWKWARD  # noqa: E402
 
 
@@ -298,3 +298,88 @@ def test_repair_of_table(spark, sf_dir):
     want = {c: reported(t)[0] for c, t in damaged(rows).items()}
     got = queries.op12_structure_repair(spark, sf_dir).collect()
     assert len(got) == len(want) and {r["conv_id"]: tuple(r)[1:] for r in got} == want
+
+
+def mined(vectors, is_anchor, k=5, n=10):
+    """(anchor, positive, rank, negative, scores) of rows (id, label, whole components)."""
+    out = []
+    for a, mine, x in vectors:
+        if not is_anchor(a):
+            continue
+        scored = [(-int(x @ y), i, label == mine) for i, label, y in vectors if i != a]
+        for p, j, _ in sorted(s for s in scored if s[2])[:k]:
+            fits = sorted(s[:2] for s in scored if not s[2] and 30 * -p <= 100 * -s[0] <= 90 * -p)[:n]
+            out += [(a, j, r, i, -p, -s) for r, (s, i) in enumerate(fits, 1)]
+    return sorted(out)
+
+
+def test_intervals_hold_the_scores():
+    rng = np.random.default_rng(7)
+    for width, top in ((1, 5), (3, 100), (64, 40), (70, 2**20), (200, 3)):
+        rows = rng.integers(-top, top + 1, (300, width))
+        rows[:5] = 0
+        rotation = hard_negatives.Rotation(width)
+        turned = rotation.turn(rotation.turn(rotation.padded(rows), 0), 1)
+        assert np.allclose(turned @ turned.T, rows @ rows.T)
+        block = hard_negatives.Block(np.arange(300), rng.integers(0, 3, 300), rows, *hard_negatives.encode(rows.astype(float), rotation))
+        for query in (rows[7], rows[0], rows[8] * 2):
+            exact, width_of = block.vectors @ query, []
+            walk, stays = block.levels(hard_negatives.Query(query, rotation), np.arange(300)), None
+            for _ in range(hard_negatives.LEVELS):
+                some, low, high = walk.send(stays) if stays is not None else next(walk)
+                assert (low <= exact).all() and (exact <= high).all() and len(some) == 300
+                width_of.append((high - low).sum())
+                stays = np.ones(300, bool)
+            assert width_of == sorted(width_of, reverse=True)
+
+
+def test_most_rows_are_never_scored():
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(20_000, 64))
+    rows = np.floor(256 * rows / np.sqrt((rows**2).sum(1, keepdims=True))).astype(np.int64)
+    rotation = hard_negatives.Rotation(64)
+    block = hard_negatives.Block(np.arange(20_000), rng.integers(0, 10, 20_000), rows, *hard_negatives.encode(rows.astype(float), rotation))
+    query = rows[5]
+    some = np.arange(20_000)
+    at, score = block.best(query, hard_negatives.Query(query, rotation), some, 10)
+    exact = block.vectors @ query
+    want = np.lexsort((block.ids, -exact))[:10]
+    assert block.ids[at].tolist() == block.ids[want].tolist() and score.tolist() == exact[want].tolist()
+    bands = [(9_000, 27_000), (8_000, 24_000), (9, 8)]
+    for (low, high), (at, score) in zip(bands, block.best_within(query, hard_negatives.Query(query, rotation), some, bands, 10), strict=True):
+        inside = np.flatnonzero((exact >= low) & (exact <= high))
+        want = inside[np.lexsort((block.ids[inside], -exact[inside]))[:10]]
+        assert block.ids[at].tolist() == block.ids[want].tolist() and score.tolist() == exact[want].tolist()
+    assert block.rows_scored < 2_000
+
+
+def test_hard_negatives_awkward(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 4)) if i % 3 else 1, [float(x) for x in rng.integers(-9, 10, 5) / 256]) for i in range(400)]
+    rows += [(i, 1, [0.5, 0.25, 0.0, 0.0, 0.125]) for i in range(400, 560)]  # one very common vector: ties
+    rows += [(560, -7, [0.1] * 5), (600, 2**40, [0.5, 0.2, 0.0, 0.0, 0.1]), (700, 1, [0.0] * 5)]
+    odd = [(800, 1, None), (801, 1, [0.1, None]), (802, 2, [float("nan")]), (803, 2, [float("inf")]), (None, 1, [0.1] * 5), (900, None, [0.1] * 5)]
+    short = [(1000, 1, []), (1001, 2, [0.5])]
+    table = spark.createDataFrame(rows + odd + short, "vec_id bigint, label bigint, embedding array<float>").withColumn("row", F.lit(1)).withColumn("block", F.lit("x")).repartition(6)
+    whole = [(i, label, np.floor(256 * np.array(x + [0.0] * (5 - len(x)), np.float32).astype(float)).astype(int)) for i, label, x in rows + short]
+    want = mined(whole, lambda i: i % 50 == 0)
+    for size, anchors in ((32_768, 4_096), (40, 3)):
+        monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", size)
+        monkeypatch.setattr(hard_negatives, "ANCHOR_ROWS", anchors)
+        got = hard_negatives.mine(table, F.col("vec_id") % 50 == 0)
+        assert sorted(map(tuple, got.collect())) == want
+    assert hard_negatives.mine(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert hard_negatives.mine(table.where("vec_id < 5"), F.col("vec_id") % 50 == 0, 3, 2).count() <= 6
+    twice = hard_negatives.mine(table.unionByName(table.where("vec_id = 0")), F.col("vec_id") == 0).count()
+    assert twice == 2 * sum(w[0] == 0 for w in want)
+
+
+def test_hard_negatives_equal_their_sql(spark, sf_dir):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf_dir}/embeddings.parquet')")
+    want = db.sql(queries.ORACLE["op11_hard_negatives"])
+    got = queries.op11_hard_negatives(spark, sf_dir)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
