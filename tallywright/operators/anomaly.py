@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import grouped, whole
 from ..functions.values import outflow_cents
 from .quantiles import with_percentile
-from .skew import HOT_ROWS, anti_join
+from .skew import anti_join
 
 LARGE_FLOOR = 100_000  # cents; smaller charges are never called large
 COLUMNS = ("type", "severity", "message", "transactions")
@@ -35,12 +35,11 @@ def outflow_magnitudes(transactions: DataFrame) -> DataFrame:
             .withColumn("cents", outflow_cents(F.col("amount"))))
 
 
-def large_transactions(transactions: DataFrame, scope: str | None = "source_file",
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+def large_transactions(transactions: DataFrame, scope: str | None = "source_file") -> DataFrame:
     """Charges above 4 medians of their statement and above the floor; at least 3 outflows."""
     keys = scope_keys(scope)
     rows = with_percentile(outflow_magnitudes(transactions), keys, "cents", 0.5, "median",
-                           {"outflows": F.count(F.lit(1))}, hot_rows)
+                           {"outflows": "n"})
     cents, median = F.col("cents"), F.col("median")
     hits = rows.where((F.col("outflows") >= 3) & (median > 0) & (cents > 4 * median)
                       & (cents > LARGE_FLOOR))
@@ -77,10 +76,9 @@ def duplicates(transactions: DataFrame, scope: str | None = "source_file") -> Da
         message.alias("message"), "transactions")
 
 
-def detect(transactions: DataFrame, scope: str | None = "source_file",
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+def detect(transactions: DataFrame, scope: str | None = "source_file") -> DataFrame:
     """Both rules. Run it on rows before dedup, which would take the repeats away."""
-    return large_transactions(transactions, scope, hot_rows).unionByName(
+    return large_transactions(transactions, scope).unionByName(
         duplicates(transactions, scope))
 
 

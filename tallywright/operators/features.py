@@ -8,31 +8,24 @@ from ..functions.values import category_key
 from ..schema import FEATURES
 from .anomaly import outflow_magnitudes, scope_keys
 from .quantiles import percentile_by, with_percentile
-from .skew import HOT_ROWS
 
-_MOMENTS = {"mean": F.avg, "std": F.stddev_pop, "outflows": F.count}
+_MOMENTS = {"mean": "mean", "std": "std", "outflows": "n"}
 
 
-def _moments() -> dict[str, Column]:
-    return {name: fn("cents") for name, fn in _MOMENTS.items()}
-
-
-def statement_stats(transactions: DataFrame, scope: str | None = "source_file",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+def statement_stats(transactions: DataFrame, scope: str | None = "source_file") -> DataFrame:
     """Median, mean and population deviation of the outflow magnitude; 0 deviation for one
     outflow. All in currency units."""
     stats = percentile_by(outflow_magnitudes(transactions), scope_keys(scope), "cents", 0.5,
-                          "median", _moments(), hot_rows)
+                          "median", _MOMENTS)
     return stats.select(*scope_keys(scope), (F.col("median") / 100).alias("median"),
                         (F.col("mean") / 100).alias("mean"), (F.col("std") / 100).alias("std"),
                         "outflows")
 
 
-def with_stats(transactions: DataFrame, scope: str | None = "source_file",
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_stats(transactions: DataFrame, scope: str | None = "source_file") -> DataFrame:
     """Every outflow next to the statistics of its statement (in cents)."""
     return with_percentile(outflow_magnitudes(transactions), scope_keys(scope), "cents", 0.5,
-                           "median", _moments(), hot_rows)
+                           "median", _MOMENTS)
 
 
 def _or_one(number: Column) -> Column:
@@ -65,8 +58,8 @@ def feature_columns() -> dict[str, Column]:
 
 
 def feature_matrix(transactions: DataFrame, scope: str | None = "source_file",
-                   keep: tuple[str, ...] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns and the twelve features, one row per outflow."""
     made = feature_columns()
-    return with_stats(transactions, scope, hot_rows).select(
+    return with_stats(transactions, scope).select(
         *keep, *[made[name].alias(name) for name in FEATURES])

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import percentile_by
-from .skew import HOT_ROWS
 
 # Default upper bounds of a duration histogram, in seconds.
 DURATION_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5,
@@ -33,13 +32,13 @@ def rate_by_key(events: DataFrame, key: str, minutes: int = 5, slide: int = 1) -
         key, "n", (F.col("n") / F.lit(60.0 * minutes)).alias("rate"))
 
 
-def percentile_by_key(events: DataFrame, key: str, window: str = "5 minutes", p: float = 0.95,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+def percentile_by_key(events: DataFrame, key: str, window: str = "5 minutes",
+                      p: float = 0.95) -> DataFrame:
     """window_start, key, and the exact percentile of value (resolved to a millionth)."""
     rows = events.select(F.window("ts", window)["start"].alias("window_start"), key,
                          F.round(F.col("value") * _MICRO).cast("bigint").alias("micro"))
     rows = rows.where(F.col("micro").isNotNull())
-    found = percentile_by(rows, ["window_start", key], "micro", p, "micro", hot_rows=hot_rows)
+    found = percentile_by(rows, ["window_start", key], "micro", p, "micro")
     return found.select("window_start", key, (F.col("micro") / _MICRO).alias("value"))
 
 

@@ -1,98 +1,104 @@
-"""Exact percentiles of integer values, also where a group is too large for one task."""
+"""Exact percentiles of whole numbers, in groups of any size, without a job ahead of time.
+
+Equal values are counted first, map side. Their high bits make bins; a group's counts by bin say in
+which one or two bins its wanted ranks lie, and only the values in those bins are looked at one by
+one. A bin has at most 2^20 different values and a span of 2^40 at most 2^20 bins, so that is what
+a task holds of a group, however many rows it has. All steps read the one shuffle of the counts.
+"""
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import HOT_ROWS, split_hot
+_BIN_BITS = 20
+_BIG = "decimal(38,0)"
+#: What can be had beside a percentile: number of values, mean, population deviation.
+FIGURES = ("n", "mean", "std")
 
-_DIGIT = 20  # bits settled in each step, so a step sorts at most 2^20 bins of a group
 
+def _same(keys: list[str], prefix: str) -> Column:
+    """Equal keys, null as one value. Without keys all rows are one group."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys], F.lit(True))
 
-def _by_bins(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
-    """Count distinct values, then narrow the wanted ranks down bin by bin.
 
-    The target table has two rows for each group and is broadcast; callers pass only the
-    few hot groups (or one group: the whole frame).
-    """
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    top = 2 * _DIGIT
-    bins = (counts.groupBy(*keys, F.shiftright("_v", top).alias("_bin"))
-            .agg(F.sum("_c").alias("_c")))
-    everything = Window.partitionBy(*keys)
-    upto = everything.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = F.lit(p) * (F.col("_n") - 1)
-    targets = (
-        bins.withColumns({"_n": F.sum("_c").over(everything), "_end": F.sum("_c").over(upto)})
-        .select(*keys, "_bin", "_n", (F.col("_end") - F.col("_c")).alias("_base"), "_end",
-                F.posexplode(F.array(F.floor(place), F.ceil(place))).alias("_side", "_rank"))
-        .where((F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_end")))
-        .drop("_end"))
-    for shift in (_DIGIT, 0):
-        binned = counts.withColumn("_bin", F.shiftright("_v", shift + _DIGIT))
-        wanted = targets.select(*[F.col(k).alias(f"_t_{k}") for k in [*keys, "_bin"]],
-                                "_n", "_side", "_rank", "_base")
-        # null-safe, so no not-null filter is pushed below the counts and makes them differ
-        # from the counts of the step before: their shuffle is reused
-        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-                                       for k in [*keys, "_bin"]])
-        inside = binned.join(F.broadcast(wanted), same)
-        bins = (inside.groupBy(*keys, "_side", "_rank", "_base", "_n",
-                               F.shiftright("_v", shift).alias("_fine"))
-                .agg(F.sum("_c").alias("_c")))
-        upto = (Window.partitionBy(*keys, "_side").orderBy("_fine")
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        targets = (
-            bins.withColumn("_end", F.col("_base") + F.sum("_c").over(upto))
-            .where((F.col("_rank") >= F.col("_end") - F.col("_c"))
-                   & (F.col("_rank") < F.col("_end")))
-            .select(*keys, F.col("_fine").alias("_bin"), "_n", "_side", "_rank",
-                    (F.col("_end") - F.col("_c")).alias("_base")))
-    ends = targets.groupBy(*keys).agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_bin"))).alias("_low"),
-        F.max(F.when(F.col("_side") == 1, F.col("_bin"))).alias("_high"),
-        F.max("_n").alias("_n"))
-    part = place - F.floor(place)
-    return ends.select(*keys, ((1 - part) * F.col("_low") + part * F.col("_high")).alias(name))
+def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
+
+
+def _bin_of(bins: Column, rank: Column) -> Column:
+    """(bin, values in earlier bins) of the rank, from ascending (bin, count) pairs."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin"),
+                     F.lit(0).cast("long").alias("base"))
+    return F.aggregate(bins, start, lambda s, b: F.struct(
+        (s["seen"] + b["c"]).alias("seen"),
+        F.when(s["bin"].isNull() & (s["seen"] + b["c"] > rank), b["bin"]).otherwise(s["bin"]).alias("bin"),
+        F.when(s["bin"].isNull(), s["seen"]).otherwise(s["base"]).alias("base")))
+
+
+def _value_at(values: Column, rank: Column) -> Column:
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("v"))
+    return F.aggregate(values, start, lambda s, x: F.struct(
+        (s["seen"] + x["c"]).alias("seen"),
+        F.when(s["v"].isNull() & (s["seen"] + x["c"] > rank), x["v"]).otherwise(s["v"]).alias("v")))["v"]
+
+
+def _deviation(n: Column, s1: Column, s2: Column) -> Column:
+    """From whole sums: squares are taken around the mean's floor, so nothing cancels."""
+    floor = F.floor(s1 / n).cast(_BIG)
+    around = s2 - (s1 * 2 * floor).cast(_BIG) + (n * floor * floor).cast(_BIG)
+    off = (s1 - n * floor).cast("double") / n
+    return F.sqrt(F.greatest(around.cast("double") / n - off * off, F.lit(0.0)))
 
 
 def percentile_by(df: DataFrame, keys: list[str], value: str, p: float, name: str,
-                  extra: dict[str, Column] | None = None,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row for each group: the exact percentile (linear between ranks) and ``extra``."""
-    extra = extra or {}
-    if not keys:
-        whole = _by_bins(df, [], value, p, name)
-        return whole.withColumns({a: df.agg(c.alias(a)).scalar() for a, c in extra.items()})
-    extra = [column.alias(alias) for alias, column in extra.items()]
-    ordinary, hot = split_hot(df, keys, hot_rows)
-    small = ordinary.groupBy(*keys).agg(F.percentile(value, p).alias(name), *extra)
-    if hot is None:
-        return small
-    large = _by_bins(hot, keys, value, p, name)
-    if extra:
-        large = large.join(F.broadcast(hot.groupBy(*keys).agg(*extra)), keys)
-    return small.unionByName(large)
+                  figures: dict[str, str] | None = None, bits: int = _BIN_BITS) -> DataFrame:
+    """One row for each group: the exact percentile (linear between ranks) and ``figures``, a
+    name for each of ``FIGURES`` that is wanted. Null values don't count; a group without a value
+    has no row."""
+    figures = figures or {}
+    counts = (df.where(F.col(value).isNotNull())
+              .groupBy(*keys, F.col(value).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    big = F.col("_v").cast(_BIG)
+    sums = {"_s1": F.sum((big * F.col("_c")).cast(_BIG)), "_s2": F.sum((big * big * F.col("_c")).cast(_BIG))}
+    wanted = {"mean": ["_s1"], "std": ["_s1", "_s2"]}
+    needed = sorted({s for f in figures.values() for s in wanted.get(f, [])})
+    binned = counts.withColumn("_bin", F.shiftright("_v", bits))
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"), *[sums[s].alias(s) for s in needed])
+    groups = bins.groupBy(*keys).agg(
+        F.sum("_c").alias("_n"),
+        F.sort_array(F.collect_list(F.struct(F.col("_bin").alias("bin"), F.col("_c").alias("c")))).alias("_bins"),
+        *[F.sum(s).cast(_BIG).alias(s) for s in needed])
+    place = F.lit(p) * (F.col("_n") - 1)
+    groups = groups.withColumns({"_low": _bin_of(F.col("_bins"), F.floor(place)),
+                                 "_high": _bin_of(F.col("_bins"), F.ceil(place))})
+    # One row for each bin that is looked into, with what is known of its group.
+    known = ["_n", *needed]
+    targets = groups.select(*keys, *known, F.col("_low.base").alias("_base"),
+                            F.explode(F.array_distinct(F.array("_low.bin", "_high.bin"))).alias("_bin"))
+    by = [*keys, "_bin"]
+    inside = binned.join(_prefixed(targets, by, "_t"), _same(by, "_t"))
+    found = inside.groupBy(*keys, *known, "_base").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_c").alias("c")))).alias("_values"))
+    low = _value_at(F.col("_values"), F.floor(place) - F.col("_base"))
+    high = _value_at(F.col("_values"), F.ceil(place) - F.col("_base"))
+    part = place - F.floor(place)
+    made = {"n": F.col("_n"), "mean": F.col("_s1").cast("double") / F.col("_n"),
+            "std": _deviation(F.col("_n"), F.col("_s1"), F.col("_s2")) if "_s2" in needed else F.lit(None)}
+    return (found.withColumns({"_lowest": low, "_highest": high})
+            .select(*keys, ((1 - part) * F.col("_lowest") + part * F.col("_highest")).alias(name),
+                    *[made[f].alias(alias) for alias, f in figures.items()]))
 
 
 def with_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str,
-                    extra: dict[str, Column], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The same figures next to every row: one shuffle for ordinary groups, none for hot ones.
+                    figures: dict[str, str], bits: int = _BIN_BITS) -> DataFrame:
+    """The same figures next to every row. A group's rows meet its one row of figures, which
+    Spark broadcasts if all of them are small; otherwise the skew join splits a hot group.
 
     Without keys the whole frame is one group and the figures are scalar subqueries.
     """
+    found = percentile_by(df, keys, value, p, name, figures, bits)
     if not keys:
-        figures = {name: _by_bins(df, [], value, p, name).scalar()}
-        figures |= {alias: df.agg(column.alias(alias)).scalar() for alias, column in extra.items()}
-        return df.withColumns(figures)
-    ordinary, hot = split_hot(df, keys, hot_rows)
-    group = Window.partitionBy(*keys)
-    near = ordinary.withColumns(
-        {name: F.percentile(value, p).over(group),
-         **{alias: column.over(group) for alias, column in extra.items()}})
-    if hot is None:
-        return near
-    figures = _by_bins(hot, keys, value, p, name).join(
-        hot.groupBy(*keys).agg(*[c.alias(a) for a, c in extra.items()]), keys)
-    return near.unionByName(hot.join(F.broadcast(figures), keys))
+        return df.withColumns({a: found.select(a).scalar() for a in (name, *figures)})
+    return (df.join(_prefixed(found, keys, "_g"), _same(keys, "_g"), "left")
+            .drop(*[f"_g{k}" for k in keys]))

@@ -10,6 +10,7 @@ from tallywright.operators import anomaly as A
 from tallywright.operators import conform as C
 from tallywright.operators import features as FE
 from tallywright.operators import iforest as I
+from tallywright.operators import metrics as M
 from tallywright.operators import replies as R
 from tallywright.operators import retrieval as RE
 from tallywright.operators import skew, spend, star
@@ -64,11 +65,10 @@ def test_combine_drops_overlap(spark):
     hits = rows.where(F.col("description").isin("TV", "X")).select(
         "source_file", F.lit("ml_outlier").alias("type"), F.lit("low").alias("severity"),
         F.lit("m").alias("message"), F.array(A.member(F.lit(1))).alias("transactions"))
-    for hot in (0, skew.HOT_ROWS):
-        kinds = sorted((r["type"], r["transactions"][0]["description"])
-                       for r in A.combine(A.detect(rows, hot_rows=hot), hits).collect())
-        assert kinds == [("large_transaction", "TV"), ("ml_outlier", "X"),
-                         ("possible_duplicate", "Coffee")]
+    kinds = sorted((r["type"], r["transactions"][0]["description"])
+                   for r in A.combine(A.detect(rows), hits).collect())
+    assert kinds == [("large_transaction", "TV"), ("ml_outlier", "X"),
+                     ("possible_duplicate", "Coffee")]
 
 
 def test_features(spark):
@@ -119,29 +119,60 @@ def test_forest_flags_about_the_contamination(spark):
     assert abs(I.training_metrics(scored).first()["outlier_rate"] - 0.03) < 0.01
 
 
-@pytest.mark.parametrize("p", [0.03, 0.5, 1.0])
-def test_percentiles_of_hot_groups_are_exact(spark, p):
-    values = [(k, v * v * 7919 % (1 << 45) - (1 << 30)) for k, n in (("a", 301), ("b", 4), ("c", 1))
-              for v in range(n)]
-    df = spark.createDataFrame(values, "k string, v bigint")
-
-    def want(vs):
-        vs = sorted(vs)
-        at = p * (len(vs) - 1)
-        low, high = vs[math.floor(at)], vs[math.ceil(at)]
-        return low + (high - low) * (at - math.floor(at))
-
-    for hot in (0, 3, skew.HOT_ROWS):
-        got = {r["k"]: r["p"] for r in percentile_by(df, ["k"], "v", p, "p", hot_rows=hot)
-               .collect()}
-        for k in "abc":
-            assert math.isclose(got[k], want([v for q, v in values if q == k]), rel_tol=1e-9)
-        near = with_percentile(df, ["k"], "v", p, "p", {"n": F.count("v")}, hot)
-        assert near.count() == len(values)
-        assert {r["k"]: r["n"] for r in near.select("k", "n").distinct().collect()} == {
-            "a": 301, "b": 4, "c": 1}
-    whole = percentile_by(df, [], "v", p, "p").first()["p"]
-    assert math.isclose(whole, want([v for _, v in values]), rel_tol=1e-9)
+def percentile_of(values, p):
+    values = sorted(values)
+    at = p * (len(values) - 1)
+    low, high = values[math.floor(at)], values[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+@pytest.mark.parametrize("p", [0.0, 0.03, 0.5, 1.0])
+@pytest.mark.parametrize("bits", [0, 3, 20, 44])
+def test_percentiles_are_exact(spark, p, bits):
+    """From one value a bin to all in one, with ties, negative values, a null key and a null value."""
+    values = [(k, v * v * 7919 % (1 << 45) - (1 << 30)) for k, n in (("a", 301), ("b", 4), ("c", 1), (None, 9))
+              for v in range(n)] + [("a", 5)] * 150
+    df = spark.createDataFrame(values + [("d", None), ("b", None)], "k string, v bigint")
+    by = {}
+    for k, v in values:
+        by.setdefault(k, []).append(v)
+    figures = {"n": "n", "mean": "mean", "std": "std"}
+    got = {r["k"]: r for r in percentile_by(df, ["k"], "v", p, "p", figures, bits=bits).collect()}
+    assert set(got) == set(by)
+    for k, vs in by.items():
+        assert math.isclose(got[k]["p"], percentile_of(vs, p), rel_tol=1e-9)
+        assert got[k]["n"] == len(vs) and math.isclose(got[k]["mean"], statistics.fmean(vs), rel_tol=1e-12)
+        assert math.isclose(got[k]["std"], statistics.pstdev(vs), rel_tol=1e-12, abs_tol=1e-9)
+    near = with_percentile(df, ["k"], "v", p, "p", {"n": "n"}, bits).collect()
+    assert len(near) == len(values) + 2
+    assert {(r["k"], r["n"], r["p"]) for r in near} == {(k, r["n"], r["p"]) for k, r in got.items()} | {("d", None, None)}
+    whole = percentile_by(df, [], "v", p, "p", bits=bits).first()["p"]
+    assert math.isclose(whole, percentile_of([v for _, v in values], p), rel_tol=1e-9)
+    assert percentile_by(df.limit(0), ["k"], "v", p, "p", bits=bits).count() == 0
+
+
+def test_figures_do_not_cancel(spark):
+    values = [10**12 + i % 7 for i in range(1000)]
+    df = spark.createDataFrame([(1, v) for v in values], "k int, v bigint")
+    got = percentile_by(df, ["k"], "v", 0.5, "p", {"std": "std", "mean": "mean"}).first()
+    assert math.isclose(got["std"], statistics.pstdev(values), rel_tol=1e-12)
+    assert got["mean"] == statistics.fmean(values)
+
+
+def test_statistics_start_no_job(spark):
+    """Building the frames only plans; nothing runs before an action."""
+    rows = ordinary(spark)
+    events = spark.createDataFrame([(datetime.datetime(2024, 1, 1), "a", 1.0)],
+                                   "ts timestamp, key string, value double")
+    spark.sparkContext.setJobGroup("plans", "only plans")
+    try:
+        FE.statement_stats(rows), FE.with_stats(rows), FE.with_stats(rows, None), FE.feature_matrix(rows)
+        A.large_transactions(rows), A.detect(rows), M.percentile_by_key(events, "key")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+        FE.statement_stats(rows).collect()
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_positions_and_running_total_of_hot_groups(spark):
