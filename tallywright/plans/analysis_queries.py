@@ -248,6 +248,13 @@ def _index(spark, sf):
     return V_.index_transactions(X.silver_numbered(spark, sf))
 
 
+def _stored_index(spark, sf):
+    """The index as a table: written once, read by column."""
+    path = scratch(spark, "index")
+    tables.overwrite(_index(spark, sf), path)
+    return tables.read_table(spark, path)
+
+
 _LINE = f"""cast(txn_date AS varchar) || ' | ' || description || ' | ' || {plain('cents')} || ' | '
 || category"""
 _LINES = T + f""", i AS (SELECT source_file || '-' || cast(row_idx AS varchar) AS id, {_LINE} AS line
@@ -273,16 +280,21 @@ QUESTIONS = ("how much did I pay for netflix?", "coca cola", "airtel broadband u
 
 
 def _questions(spark, sf):
-    """Fixed questions and, from the data, the smallest description of each category."""
+    """Fixed questions and, from the data, the smallest description of each category and the first
+    turn of each conversation."""
     fixed = [(f"q{i}", q) for i, q in enumerate(QUESTIONS)]
     asked = X.silver(spark, sf).groupBy("category").agg(F.min("description").alias("question"))
+    turns = X.table(spark, sf, "conversations").where("turn = 0")
     return (spark.createDataFrame(fixed, "query_id string, question string")
-            .unionByName(asked.select(F.col("category").alias("query_id"), "question")))
+            .unionByName(asked.select(F.col("category").alias("query_id"), "question"))
+            .unionByName(turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("query_id"),
+                                      F.col("text").alias("question"))))
 
 
 _QUERIED = _LINES + ", q AS (" + " UNION ALL ".join(
     f"SELECT 'q{i}' AS query_id, '{q}' AS question" for i, q in enumerate(QUESTIONS)) + f"""
-  UNION ALL SELECT category, min(description) FROM t GROUP BY category),
+  UNION ALL SELECT category, min(description) FROM t GROUP BY category
+  UNION ALL SELECT 'c' || cast(conv_id AS varchar), text FROM conversations WHERE turn = 0),
 {_buckets('i', 'id', 'line', 1536)}, dn AS (SELECT id, sum(n * n) AS sq FROM b GROUP BY id),
 {_buckets('q', 'query_id', 'question', 1536).replace('x AS', 'qx AS').replace('b AS', 'qb AS')
  .replace('FROM x)', 'FROM qx)')},
@@ -298,7 +310,7 @@ r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s
 
 @query(_QUERIED + """SELECT query_id, cast(rank AS int) AS rank, id FROM r WHERE rank <= 5""")
 def vec_query_batch(spark, sf):
-    found = V_.query_batch(_index(spark, sf), _questions(spark, sf), 5)
+    found = V_.query_batch(_stored_index(spark, sf), _questions(spark, sf), 5)
     return found.select("query_id", "rank", "id")
 
 
@@ -309,7 +321,7 @@ SELECT query_id, 'Top matches: ' || string_agg(text, '; ' ORDER BY rank) AS answ
 FROM m GROUP BY query_id""")
 def extractive_answer(spark, sf):
     asked = _questions(spark, sf)
-    return V_.extractive_answers(asked, V_.query_batch(_index(spark, sf), asked, 5))
+    return V_.extractive_answers(asked, V_.query_batch(_stored_index(spark, sf), asked, 5))
 
 
 @query("""SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the')

@@ -270,7 +270,7 @@ def test_retrieval(spark, monkeypatch):
     top = {r["query_id"]: r["metadata"]["description"] for r in hits if r["rank"] == 1}
     assert top["a"] == "Swiggy food order" and top["b"] == "Netflix subscription"
     assert len(hits) == 9  # rows that score 0 fill up the k
-    monkeypatch.setattr(RE, "BLOCK_BYTES", 8 * 256)  # one query in a block
+    monkeypatch.setattr(RE, "BLOCK_BYTES", 100)  # several blocks of each
     again = RE.query_batch(index, asked, 5, 256).collect()
     assert sorted(map(str, again)) == sorted(map(str, hits))
     answers = {r["query_id"]: r["answer"] for r in RE.extractive_answers(
@@ -288,6 +288,81 @@ def test_dense_top_k(spark):
     assert [r["id"] for r in got] == ["a", "b", "c"] and got[0]["score"] == 1.0
 
 
+def test_dense_top_k_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i:03d}", rng.integers(-2, 3, 3 + i % 2).astype(float).tolist()) for i in range(120)]
+    rows += [("w", None), ("x", [])]
+    vectors = spark.createDataFrame(rows, "id string, values array<double>").repartition(3)
+    asked = vectors.where("id < 'v020' or id >= 'w'").withColumnRenamed("id", "query_id")
+
+    def cosine(a, b):
+        a, b = np.array(a or [0.0]), np.array(b or [0.0])
+        n = min(len(a), len(b))
+        size = np.sqrt((a**2).sum()) * np.sqrt((b**2).sum())
+        return round(float(a[:n] @ b[:n] / size), 12) if size else 0.0
+
+    want = {q: sorted((-cosine(x, v), i) for i, v in rows)[:6] for q, x in rows if q < "v020" or q >= "w"}
+    for size in (RE.BLOCK_BYTES, 300):
+        monkeypatch.setattr(RE, "BLOCK_BYTES", size)
+        got = {}
+        for r in RE.topk_dense(vectors, asked, 6).orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+        assert set(got) == set(want)
+        for q, found in want.items():
+            assert [i for _, i in got[q]] == [i for _, i in found], q
+            assert np.allclose([s for s, _ in got[q]], [s for s, _ in found], atol=1e-11)
+    assert RE.topk_dense(vectors.limit(0), asked, 6).count() == 0
+    assert RE.topk_dense(vectors, asked.limit(0), 6).count() == 0
+
+
+def sparse_rows(rng, n, tokens, dim):
+    import numpy as np
+
+    out = []
+    for _ in range(n):
+        at = (rng.zipf(1.3, int(rng.integers(0, tokens))) % dim).astype(np.int64)
+        out.append(np.unique(at, return_counts=True))
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_inverted_lists_find_the_best(k):
+    import numpy as np
+
+    rng = np.random.default_rng(k)
+    rows, asked = sparse_rows(rng, 300, 12, 64), [*sparse_rows(rng, 40, 20, 80), (np.array([], int), np.array([], int))]
+    ids = np.array([f"r{i}" for i in rng.permutation(300)], dtype=object)
+    lists = RE.InvertedLists(ids, np.array([len(b) for b, _ in rows]), np.concatenate([b for b, _ in rows]),
+                             np.concatenate([c for _, c in rows]).astype(float))
+    full = np.zeros((300, 80))
+    for i, (b, c) in enumerate(rows):
+        full[i, b] = c
+    norm = np.sqrt((full**2).sum(1))
+    for b, c in asked:
+        q = np.zeros(80)
+        q[b] = c
+        size = norm * np.sqrt((q**2).sum())
+        score = np.divide(full @ q, size, out=np.zeros(300), where=size > 0)
+        want = sorted(zip(-score, ids, strict=True))[:k]
+        got_ids, got = lists.best(b, c.astype(float), k)
+        assert list(got_ids) == [i for _, i in want] and (got == [-s for s, _ in want]).all()
+
+
+def test_few_rows_are_scored_where_bounds_tell():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    n = 5000  # one list holds all rows, another a hundred
+    buckets = [np.array([0, 1 + i % 50, *([60, 61] if i % 50 == 0 else [])]) for i in range(n)]
+    counts = [np.array([1, 1, *([9, 9] if i % 50 == 0 else [])]) for i in range(n)]
+    lists = RE.InvertedLists(np.array([f"{i:05d}" for i in rng.permutation(n)], dtype=object),
+                             np.array([len(b) for b in buckets]), np.concatenate(buckets), np.concatenate(counts).astype(float))
+    ids, scores = lists.best(np.array([0, 1, 2, 3, 4, 60, 61]), np.array([1, 1, 1, 1, 1, 5, 5.0]), 5)
+    assert len(ids) == 5 and lists.rows_scored <= 100
+
+
 def test_tools(spark):
     rows = statement(spark, [("Swiggy", -450, 1, "dining"), ("Rent", -67000, 2, None),
                              ("Salary", 90000, 3, "income")])
