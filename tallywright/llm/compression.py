@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.llm import text as X
-from tallywright.llm.store import drawn
+from tallywright.llm.store import drawn, hashed, texts_of
 
 BLOCK_BYTES = 1024
 DICTIONARY_BYTES = 1 << 16
@@ -125,22 +125,24 @@ def _differences(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def fit(labelled: DataFrame, per_label: int = 1500, for_curve: int = 4000, per_text: int = 6) -> Model:
-    """Fit on labelled(text, label 0/1). Bounded samples, chosen by a hash of the text: at most
-    `per_label` different texts of each label give blocks to the dictionaries, and at most `for_curve`
-    other texts, in their natural proportion, give the curve."""
-    rows = labelled.where("label in (0, 1) and text is not null").select("text", F.col("label").cast("int").alias("label"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame | None = None, per_label: int = 1500, for_curve: int = 4000, per_text: int = 6) -> Model:
+    """Fit on docs(text, label 0/1), or docs(doc_id, text) and labels(doc_id, label). Bounded samples,
+    chosen by a hash of the text: at most `per_label` different texts of each label give blocks to the
+    dictionaries, and at most `for_curve` other texts, in their natural proportion, give the curve."""
+    rows = hashed(docs, labels, "label").where("label in (0, 1)")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         share = 0.5 if not total else float(next(iter(counts)))
         return Model(b"", b"", (0.0,), (share,))
     # The dictionaries' texts lie below a half, the curve's above it.
     share = F.when(F.col("label") == 1, min(0.5, per_label / counts[1])).otherwise(min(0.5, per_label / counts[0]))
-    got = drawn(rows, ["text"], share, per_label, ["label"], apart=True).mapInArrow(_blocks(per_text), "label int, block binary").collect()
+    some = texts_of(docs, drawn(rows, F.col("hash"), share, per_label, ["label"], apart=True), "label")
+    got = some.mapInArrow(_blocks(per_text), "label int, block binary").collect()
     sides = [dictionary([bytes(r["block"]) for r in got if r["label"] == k]) for k in (1, 0)]
     model = Model(*sides, (-1.0, 1.0), (0.0, 1.0))
-    seen = _differences(drawn(rows, ["text"], F.lit(min(0.5, for_curve / total)), for_curve, ["label"], low=0.5), model, ["label"]).collect()
+    some = texts_of(docs, drawn(rows, F.col("hash"), F.lit(min(0.5, for_curve / total)), for_curve, ["label"], low=0.5), "label")
+    seen = _differences(some, model, ["label"]).collect()
     y = np.array([r["label"] for r in seen], float)
     if len(set(y)) == 2:
         model.at, model.share = curve(np.array([r["difference"] for r in seen]), y)
