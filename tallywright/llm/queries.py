@@ -87,8 +87,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").alias("grade"))
-    known = docs.select("doc_id", "text").where(fold(5) != 0).join(labels.where(fold(5) != 0).hint("shuffle_hash"), "doc_id")
-    graded = severity.predict(docs, severity.fit(known.select("text", "grade")))
+    graded = severity.predict(docs, severity.fit(docs.where(fold(5) != 0), labels))
     return graded.select("doc_id", (fold(5) == 0).alias("held_out"), "grade", "expected_severity", F.col("p_above").alias("p_toxic"), (F.col("p_above") >= 0.5).alias("toxic"))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tallywright import session
 from tallywright.llm import text as X
+from tallywright.llm.store import drawn, hashed, texts_of
 
 
 @dataclass
@@ -106,26 +107,29 @@ def fit_rows(grades: list[int], chosen: np.ndarray, words: np.ndarray, rows: np.
     return Model(grades, chosen, w, thresholds(theta))
 
 
-def fit(labelled: DataFrame, per_grade: int = 6000, most: int = 512, least_texts: int = 8) -> Model:
-    """Fit on labelled(text, grade): about `per_grade` texts of each grade, chosen by a hash of
-    the text; copies of a text count once. The driver holds at most `most` features of each."""
-    rows = labelled.where("text is not null and grade is not null").select("text", F.col("grade").cast("int").alias("grade"))
-    counts = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame | None = None, per_grade: int = 6000, most: int = 512, least_texts: int = 8) -> Model:
+    """Fit on docs(text, grade), or docs(doc_id, text) and labels(doc_id, grade): at most `per_grade`
+    different texts of each grade, chosen by a hash of the text; copies of a text count once. The
+    driver holds at most `most` features of each."""
+    rows = hashed(docs, labels, "grade")
+    per = rows.groupBy("grade").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).collect()
+    counts = {r["grade"]: r["n"] for r in per}
     grades = sorted(counts)
     if len(grades) < 2:
         return Model(grades or [0], np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    different = {r["grade"]: r["texts"] for r in per}
     share, number = F.lit(0.0), F.lit(0)
     for i, g in enumerate(grades):
-        share = F.when(F.col("grade") == g, F.lit(min(1.0, per_grade / counts[g]))).otherwise(share)
+        share = F.when(F.col("grade") == g, F.lit(min(1.0, per_grade / different[g]))).otherwise(share)
         number = F.when(F.col("grade") == g, F.lit(i)).otherwise(number)
-    point = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.where(point < share).withColumn("grade", number).mapInArrow(_word_sets(), "grade int, words array<bigint>")
-    drawn = session.cut(drawn.withColumn("content", F.xxhash64("words")).dropDuplicates(["grade", "content"]).drop("content"))
-    have = {r["grade"]: r["n"] for r in drawn.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    some = texts_of(docs, drawn(rows, F.col("hash"), share, per_grade, ["grade"], apart=True), "grade")
+    found = some.withColumn("grade", number).mapInArrow(_word_sets(), "grade int, words array<bigint>")
+    sampled = session.cut(found.withColumn("content", F.xxhash64("words")).dropDuplicates(["grade", "content"]).drop("content"))
+    have = {r["grade"]: r["n"] for r in sampled.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     weight = F.lit(0.0)
     for i, g in enumerate(grades):
         weight = F.when(F.col("grade") == i, F.lit(counts[g] / max(1, have.get(i, 0)))).otherwise(weight)
-    texts = drawn.withColumn("weight", weight)
+    texts = sampled.withColumn("weight", weight)
     chosen = choose(texts, most, least_texts)
     listed = F.array(*[F.lit(x) for x in chosen.view(np.int64).tolist()]).cast("array<bigint>")
     got = texts.select("grade", "weight", F.array_intersect("words", listed).alias("words")).collect()
