@@ -1,16 +1,13 @@
 """Writing tables so that a rerun changes nothing, on plain Parquet folders.
 
-A table that rows are replaced in is laid out by ``bucket`` (a hash of the key). New keys
-are appended; only buckets that hold a replaced key are rewritten, from a staged copy.
-Nothing is gathered by bucket: rebalancing splits a bucket that one key has made large.
+Tables that rows are replaced in are kept as snapshots (``snapshots``).
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import anti_join
 from ..schema import CATEGORIES, DIM_CATEGORY
-from ..session import scratch
+from . import snapshots
 
 
 def _path(spark: SparkSession, path: str):
@@ -33,6 +30,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     is there and can't be read is an error."""
     if not exists(spark, path):
         return None
+    if exists(spark, f"{path}/_manifest"):
+        return snapshots.read(spark, path)
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
@@ -69,69 +68,13 @@ def publish(tables: dict[str, DataFrame], target, mode: str = "overwrite") -> No
         table.write.format(kind).options(**options).mode(mode).save()
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-
-
-def _layout(spark: SparkSession, path: str) -> int | None:
-    """The number of buckets a table was laid out by, kept beside its data."""
-    at = f"{path}/_layout"
-    return spark.read.parquet(at).first()["buckets"] if exists(spark, at) else None
-
-
-def _write_buckets(df: DataFrame, path: str, mode: str) -> None:
-    (df.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").mode(mode)
-     .option("partitionOverwriteMode", "dynamic").parquet(path))
-
-
-def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Put the rows of ``df`` in place of all rows with the same keys (null is a key too). No
-    rows: no change. A table laid out by another number of buckets is laid out anew."""
-    spark = df.sparkSession
-    staged = scratch(spark, "staged")
-    try:
-        _write_buckets(_bucketed(df, key, buckets), staged, "error")
-        incoming = spark.read.schema(_bucketed(df, key, buckets).schema).parquet(staged)
-        if not incoming.isEmpty():
-            _load(incoming, path, key, buckets)
-    finally:
-        delete(spark, staged)
-
-
-def _load(incoming: DataFrame, path: str, key: str, buckets: int) -> None:
-    spark = incoming.sparkSession
-    existing = read_table(spark, path)
-    if existing is None or _layout(spark, path) != buckets:
-        if existing is not None:
-            whole = anti_join(existing.drop("bucket"), incoming, [key]).unionByName(
-                incoming.drop("bucket"), allowMissingColumns=True)
-            moved = scratch(spark, "moved")
-            try:
-                _write_buckets(_bucketed(whole, key, buckets), moved, "error")
-                spark.read.parquet(moved).write.partitionBy("bucket").mode("overwrite").option(
-                    "partitionOverwriteMode", "static").parquet(path)
-            finally:
-                delete(spark, moved)
-        else:
-            _write_buckets(incoming, path, "append")
-        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode(
-            "overwrite").parquet(f"{path}/_layout")
-        return
-    # at most one number per bucket comes back; only those buckets of the table are looked at
-    brought = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]
-    here = existing.where(F.col("bucket").isin(brought))
-    keys = incoming.select(F.col(key).alias("_key")).distinct()
-    replaced = here.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    touched = [r["bucket"] for r in replaced.select("bucket").distinct().collect()]
-    if touched:
-        # written aside by the committer and moved in when all of it is there
-        old, new = here.where(F.col("bucket").isin(touched)), incoming.where(F.col("bucket").isin(touched))
-        _write_buckets(anti_join(old, new, [key]).unionByName(new, allowMissingColumns=True), path, "overwrite")
-    rest = incoming.where(~F.col("bucket").isin(touched)) if touched else incoming
-    _write_buckets(rest, path, "append")
-
-
-def replace_by_source(fact: DataFrame, path: str, buckets: int = 64) -> None:
+def replace_by_key(df: DataFrame, path: str, key: str, buckets: int | None = None) -> None:
+    """Put the rows of ``df`` in place of all rows with the same keys (null is a key too), in one
+    step that readers see whole or not at all. No rows: no change."""
+    snapshots.replace_by_key(df, path, key, buckets)
+
+
+def replace_by_source(fact: DataFrame, path: str, buckets: int | None = None) -> None:
     """Load statements: the rows of each source in ``fact`` replace what it had before."""
     replace_by_key(fact, path, "source_file", buckets)
 
@@ -149,7 +92,7 @@ def upsert(store: DataFrame, records: DataFrame, key: str, order: str) -> DataFr
     return store.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
-def upsert_vectors(records: DataFrame, path: str, order: str, buckets: int = 64) -> None:
+def upsert_vectors(records: DataFrame, path: str, order: str, buckets: int | None = None) -> None:
     """Insert or replace by ``id``; of equal ids in one batch the last wins."""
     replace_by_key(last_per_key(records, "id", order).drop(order), path, "id", buckets)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright.operators import conform as C
-from tallywright.sources import datasets, statements, tables
+from tallywright.sources import datasets, snapshots, statements, tables
 from tallywright.streaming import jobs
 
 FILES = {
@@ -136,17 +136,78 @@ def test_replace_by_source(spark, tmp_path):
     assert tables.read_table(spark, path).count() == 3
 
 
-def test_replace_holds_for_any_layout_and_null_keys(spark, tmp_path, monkeypatch):
-    made = []
-    real = tables.scratch
-    monkeypatch.setattr(tables, "scratch", lambda *a: made.append(real(*a)) or made[-1])
+def test_replace_holds_for_any_layout_and_null_keys(spark, tmp_path):
     path = str(tmp_path / "fact")
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "source_file string, v int")
-    for buckets in (4, 7, 7, 1, 64):
+    for buckets in (4, 7, 7, 1, 64, None):
         tables.replace_by_source(rows, path, buckets)
         got = tables.read_table(spark, path)
         assert sorted((r["source_file"] or "", r["v"]) for r in got.collect()) == [("", 4), ("a", 1), ("b", 2), ("c", 3)]
-    assert made and not any(tables.exists(spark, folder) for folder in made)
+    assert snapshots.manifest(spark, path).buckets == 64
+    assert len(list((tmp_path / "fact" / "_manifest").glob("*.json"))) == snapshots.KEPT_VERSIONS
+    assert snapshots.vacuum(spark, path) == 0
+    wide = rows.where("v < 3").withColumn("w", F.lit("new"))
+    tables.replace_by_source(wide, path)
+    got = sorted((r["v"], r["w"]) for r in tables.read_table(spark, path).collect())
+    assert got == [(1, "new"), (2, "new"), (3, None), (4, None)]
+
+
+@pytest.mark.parametrize("step", ["_commit", "_survivors", "_remove_old"])
+def test_a_load_that_is_killed_leaves_a_readable_table(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "fact")
+    first = spark.createDataFrame([(k, 1) for k in "abcdef"], "source_file string, v int")
+    second = spark.createDataFrame([(k, 2) for k in "abxy"], "source_file string, v int")
+    tables.replace_by_source(first, path, 4)
+    old, new = {(k, 1) for k in "abcdef"}, {(k, 2) for k in "abxy"} | {(k, 1) for k in "cdef"}
+
+    class Killed(BaseException):
+        pass
+
+    def kill(*_):
+        raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, step, kill)
+        m.setattr(snapshots, "_delete", lambda *_: None)  # nothing is tidied up either
+        with pytest.raises(Killed):
+            tables.replace_by_source(second, path, 4)
+    read = lambda: {tuple(r) for r in tables.read_table(spark, path).collect()}
+    assert read() == (new if step == "_remove_old" else old)
+    tables.replace_by_source(second, path, 4)
+    assert read() == new
+    assert snapshots.vacuum(spark, path) == {"_commit": 2, "_survivors": 1, "_remove_old": 0}[step]
+    assert read() == new
+
+
+def test_two_loads_at_a_time(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "fact")
+    rows = lambda v: spark.createDataFrame([("a", v), (f"k{v}", v)], "source_file string, v int")
+    tables.replace_by_source(rows(1), path, 2)
+    real = snapshots._commit
+
+    def late(session, at, made):
+        monkeypatch.setattr(snapshots, "_commit", real)
+        tables.replace_by_source(rows(3), path, 2)  # the other load is first
+        real(session, at, made)
+
+    monkeypatch.setattr(snapshots, "_commit", late)
+    with pytest.raises(snapshots.Conflict):
+        tables.replace_by_source(rows(2), path, 2)
+    assert {tuple(r) for r in tables.read_table(spark, path).collect()} == {("a", 3), ("k1", 1), ("k3", 3)}
+    assert snapshots.vacuum(spark, path) == 0
+
+
+def test_buckets_grow_and_folders_are_folded(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "fact")
+    monkeypatch.setattr(snapshots, "MOST_FOLDERS", 3)
+    for i in range(6):
+        tables.replace_by_source(spark.createDataFrame([(f"k{i}", i)], "source_file string, v int"), path, 1)
+        assert tables.read_table(spark, path).count() == i + 1
+    assert all(len(fs) <= 4 for fs in snapshots.manifest(spark, path).parts.values())
+    monkeypatch.setattr(snapshots, "BUCKET_BYTES", 500)
+    tables.replace_by_source(spark.createDataFrame([("k9", 9)], "source_file string, v int"), path)
+    assert snapshots.manifest(spark, path).buckets > 1
+    assert sorted(r["v"] for r in tables.read_table(spark, path).collect()) == [0, 1, 2, 3, 4, 5, 9]
 
 
 def test_upsert_last_wins(spark):
