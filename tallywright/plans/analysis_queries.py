@@ -17,7 +17,8 @@ from ..sources import tables
 from . import fixtures as X
 from .oracle import ALL_ANOMALIES, ANOMALIES, EVENTS_SLOTS, FILES, STATS, T, category_key, plain
 from .registry import query
-from .table_queries import _pseudo_hits
+from . import stated_forest
+from .stated_forest import SCORED
 
 # ---- rule anomalies ----------------------------------------------------------------------
 
@@ -123,7 +124,7 @@ def _fitted(spark, sf):
     made = _FOREST.get((spark.sparkContext.applicationId, sf))
     if made is None:
         made = scratch(spark, "forest")
-        I.fit(_features(spark, sf), metadata={"statements": 0}).save(made)
+        I.fit(_features(spark, sf)).save(made)
         _FOREST[(spark.sparkContext.applicationId, sf)] = made
     return I.load(spark, made)
 
@@ -131,56 +132,113 @@ def _fitted(spark, sf):
 _FOREST: dict = {}
 
 
-@query()
+def _six(name):
+    return F.round(name, 6).cast("decimal(18,6)").alias(name)
+
+
+@query(STATS + """SELECT cast(tree AS int) AS tree, least(256, n) AS root_rows,
+least(256, n) AS leaf_rows, cast(1 AS bigint) AS more_leaves_than_splits,
+cast(0 AS bigint) AS rows_lost, cast(0 AS bigint) AS splits_outside, n AS n_samples
+FROM (SELECT count(*) AS n FROM o), unnest(range(150)) AS t(tree)""")
 def iforest_fit(spark, sf):
-    return I.fit(_features(spark, sf)).nodes
+    """Facts of the trained forest, tree by tree: every tree holds its sample, each split parts its
+    rows without loss at a value between the least and the greatest of its feature."""
+    model = I.fit(_features(spark, sf))
+    nodes = model.nodes
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("rows").alias("child_rows"))
+    parts = nodes.where("feature >= 0").select(
+        "tree", "node", "rows", F.explode(F.array("left", "right")).alias("child")).join(
+        child, ["tree", "child"])
+    lost = (parts.groupBy("tree", "node", "rows").agg(F.sum("child_rows").alias("below"))
+            .groupBy("tree").agg(F.sum(F.abs(F.col("rows") - F.col("below"))).alias("rows_lost")))
+    span = _features(spark, sf).agg(*[fn(n).alias(f"{tag}_{n}") for n in FEATURES
+                                      for tag, fn in (("low", F.min), ("high", F.max))])
+    spans = span.select(F.array(*[f"low_{n}" for n in FEATURES]).alias("low"),
+                        F.array(*[f"high_{n}" for n in FEATURES]).alias("high"))
+    low, high = spans.select("low").scalar(), spans.select("high").scalar()
+    ranged = nodes.withColumns({"least": F.get(low, F.greatest("feature", F.lit(0))),
+                                "greatest": F.get(high, F.greatest("feature", F.lit(0)))})
+    leaf, split = F.col("feature") < 0, F.col("feature") >= 0
+    facts = ranged.groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("rows"))).cast("bigint").alias("root_rows"),
+        F.sum(F.when(leaf, F.col("rows"))).alias("leaf_rows"),
+        (F.count_if(leaf) - F.count_if(split)).alias("more_leaves_than_splits"),
+        F.count_if(split & ((F.col("threshold") < F.col("least")) | (F.col("threshold") >= F.col("greatest"))))
+        .alias("splits_outside"))
+    return facts.join(lost, "tree").withColumn(
+        "n_samples", F.lit(model.metadata["n_samples"]).cast("bigint"))
 
 
 @query()
-def iforest_score(spark, sf):
-    return I.score(_features(spark, sf), _fitted(spark, sf)).select(
-        "source_file", "txn_date", "cents", "score")
+def iforest_nodes(spark, sf):
+    return _fitted(spark, sf).nodes
 
 
 @query()
-def iforest_predict(spark, sf):
-    scored = I.score(_features(spark, sf), _fitted(spark, sf))
-    return I.predict(scored).groupBy("source_file", "prediction").agg(
-        F.count(F.lit(1)).alias("n"))
+def iforest_score_fitted(spark, sf):
+    return I.score(_features(spark, sf), _fitted(spark, sf)).select(
+        "source_file", "txn_date", "cents", "score")
 
 
-@query()
+@query(STATS + """SELECT count(*) AS n, cast(0 AS bigint) AS changed FROM o""")
 def iforest_persist(spark, sf):
+    """Rows whose score by the trained forest changes when it is saved and read back: none."""
     path = scratch(spark, "forest")
-    _fitted(spark, sf).save(path)
-    return I.load(spark, path).nodes
+    trained = _fitted(spark, sf)
+    trained.save(path)
+    once = I.score(_features(spark, sf), trained).withColumnRenamed("score", "before")
+    both = I.score(once, I.load(spark, path))
+    return both.agg(F.count(F.lit(1)).alias("n"),
+                    F.count_if(~F.col("score").eqNullSafe(F.col("before"))).alias("changed"))
 
 
-@query()
+@query(SCORED + """SELECT source_file, txn_date, mag AS cents,
+cast(round(score, 6) AS decimal(18,6)) AS score FROM scored""")
+def iforest_score(spark, sf):
+    scored = I.score(_features(spark, sf), stated_forest.forest(spark))
+    return scored.select("source_file", "txn_date", "cents", _six("score"))
+
+
+@query(SCORED + """SELECT source_file, CASE WHEN score < 0 THEN -1 ELSE 1 END AS prediction,
+count(*) AS n FROM scored GROUP BY ALL""")
+def iforest_predict(spark, sf):
+    scored = I.score(_features(spark, sf), stated_forest.forest(spark))
+    return I.predict(scored).groupBy("source_file", "prediction").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query(SCORED + """SELECT count(*) FILTER (score < 0) AS n_outliers,
+cast(round(count(*) FILTER (score < 0) / count(*), 6) AS decimal(18,6)) AS outlier_rate,
+cast(round(avg(score), 6) AS decimal(18,6)) AS score_mean,
+cast(round(min(score), 6) AS decimal(18,6)) AS score_min FROM scored""")
 def agg_training_metrics(spark, sf):
-    return I.training_metrics(I.score(_features(spark, sf), _fitted(spark, sf)))
+    found = I.training_metrics(I.score(_features(spark, sf), stated_forest.forest(spark)))
+    return found.select("n_outliers", _six("outlier_rate"), _six("score_mean"), _six("score_min"))
 
 
-@query()
+@query(SCORED + """SELECT source_file, severity, message, txn_date AS date, description, amount,
+category FROM hits""")
 def anom_ml(spark, sf):
-    found = I.model_anomalies(X.silver(spark, sf), _fitted(spark, sf))
-    return A.members(found)
+    found = I.model_anomalies(X.silver(spark, sf), stated_forest.forest(spark))
+    return A.members(found).select(
+        "source_file", "severity", "message", "date", "description", "amount", "category")
 
 
-@query()
+@query(SCORED + "SELECT severity, count(*) AS n FROM hits GROUP BY ALL")
 def anom_ml_severity(spark, sf):
-    found = I.model_anomalies(X.silver(spark, sf), _fitted(spark, sf))
+    found = I.model_anomalies(X.silver(spark, sf), stated_forest.forest(spark))
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(ANOMALIES + """SELECT source_file, type, message FROM large
+@query(SCORED + """SELECT source_file, type, message FROM large
 UNION ALL SELECT source_file, type, message FROM dupes
-UNION ALL SELECT o.source_file, 'ml_outlier', 'by the cents' FROM o WHERE mag % 17 = 0
-  AND NOT EXISTS (SELECT 1 FROM rule_members r WHERE r.source_file = o.source_file
-    AND r.txn_date = o.txn_date AND r.description = o.description AND r.amount = o.amount)""")
+UNION ALL SELECT h.source_file, 'ml_outlier', h.message FROM hits h
+  WHERE NOT EXISTS (SELECT 1 FROM rule_members r WHERE r.source_file = h.source_file
+    AND r.txn_date = h.txn_date AND r.description = h.description AND r.amount = h.amount)""")
 def anom_combine(spark, sf):
     rows = X.silver(spark, sf)
-    return A.combine(A.detect(rows), _pseudo_hits(rows)).select("source_file", "type", "message")
+    hits = I.model_anomalies(rows, stated_forest.forest(spark)).drop("score")
+    return A.combine(A.detect(rows), hits).select("source_file", "type", "message")
 
 
 @query()

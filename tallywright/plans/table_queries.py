@@ -7,6 +7,7 @@ from ..functions import values as V
 from ..operators import anomaly as A
 from ..operators import conform as C
 from ..operators import features as FE
+from ..operators import iforest as I
 from ..operators import replies as R
 from ..operators import retrieval as V_
 from ..operators import skew, spend, star
@@ -14,9 +15,11 @@ from ..schema import CATEGORIES
 from ..session import scratch
 from ..sources import statements, tables
 from . import fixtures as X
+from . import stated_forest
 from .oracle import (ANOMALIES, FILES, STATS, T, category_key, category_of, half_even, listed,
                      one_of, plain)
 from .registry import query
+from .stated_forest import SCORED
 from .source_queries import _DIM_DATE, _PERSONAL, gold, union_parts
 
 SUM = "decimal(38,2)"
@@ -323,22 +326,16 @@ def join_stats(spark, sf):
         F.round(F.col("std") / 100, 2).cast("decimal(18,2)").alias("std"))
 
 
-def _pseudo_hits(rows):
-    """Every 17th cent amount plays the model, so that SQL can say who is left."""
-    hits = rows.where((F.col("amount") < 0) & (F.col("cents") % 17 == 0))
-    return hits.select(
-        "source_file", F.lit("ml_outlier").alias("type"), F.lit("low").alias("severity"),
-        F.lit("by the cents").alias("message"), F.array(A.member(F.lit(1))).alias("transactions"))
-
-
-@query(ANOMALIES + """SELECT o.source_file, o.txn_date AS date, o.description, o.amount FROM o
-WHERE mag % 17 = 0 AND NOT EXISTS (SELECT 1 FROM rule_members r
-  WHERE r.source_file = o.source_file AND r.txn_date = o.txn_date
-    AND r.description = o.description AND r.amount = o.amount)""")
+@query(SCORED + """SELECT h.source_file, h.txn_date AS date, h.description, h.amount,
+count(*) AS n FROM hits h WHERE NOT EXISTS (SELECT 1 FROM rule_members r
+  WHERE r.source_file = h.source_file AND r.txn_date = h.txn_date
+    AND r.description = h.description AND r.amount = h.amount) GROUP BY ALL""")
 def anti_ml_vs_rules(spark, sf):
     rows = X.silver(spark, sf)
-    left = A.without_rule_hits(_pseudo_hits(rows), A.detect(rows))
-    return A.members(left).select("source_file", "date", "description", "amount")
+    hits = I.model_anomalies(rows, stated_forest.forest(spark))
+    left = A.members(A.without_rule_hits(hits, A.detect(rows)))
+    return left.groupBy("source_file", "date", "description", "amount").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 @query(T + """SELECT DISTINCT cast(strftime(txn_date, '%Y%m%d') AS int) AS date_key

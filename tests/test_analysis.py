@@ -119,6 +119,39 @@ def test_forest_flags_about_the_contamination(spark):
     assert abs(I.training_metrics(scored).first()["outlier_rate"] - 0.03) < 0.01
 
 
+@pytest.mark.parametrize("equal", [0.0, 0.4, 0.999])
+def test_a_tree_draws_about_its_sample_however_many_rows_are_equal(spark, equal):
+    n, trees = 200_000, 150
+    same = F.col("id") < int(n * equal)
+    rows = spark.range(n).select(*[F.when(same, 0.5).otherwise(F.rand(i)).alias(f"f{i}") for i in range(2)])
+    rows = rows.withColumn("_row", F.xxhash64("f0", "f1")).checkpoint()
+    got = I.drawn(rows, n, trees, 256, 42).groupBy("_tree").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("f0") == 0.5).alias("same")).collect()
+    assert len(got) == trees and all(256 <= r["n"] <= 384 for r in got)
+    assert all(abs(r["same"] - 320 * equal) <= 2 for r in got) if equal else True
+    dealt = I.drawn(rows.repartition(3), n, trees, 256, 42)
+    again = dealt.groupBy("_tree").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("f0") == 0.5).alias("same"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
+
+
+def test_a_small_table_goes_to_every_tree_whole(spark):
+    rows = spark.createDataFrame([(0.1,), (0.1,), (0.2,)], "f0 double").withColumn("_row", F.xxhash64("f0"))
+    got = I.drawn(rows, 3, 4, 3, 42).groupBy("_tree", "f0").count().collect()
+    assert sorted(map(tuple, got)) == [(t, v, c) for t in range(4) for v, c in ((0.1, 2), (0.2, 1))]
+
+
+def test_scores_are_those_of_a_walk_by_hand(spark):
+    nodes = [(0, 0, 0, 0.5, 1, 2, 0.0, 3), (0, 1, -1, 0.0, -1, -1, 2.0, 1), (0, 2, 1, 7.0, 3, 4, 0.0, 2),
+             (0, 3, -1, 0.0, -1, -1, 4.0, 1), (0, 4, -1, 0.0, -1, -1, 5.5, 1), (1, 0, -1, 0.0, -1, -1, 3.0, 3)]
+    model = I.Forest(spark.createDataFrame(nodes, I._NODES), -500_000_000_000, ("a", "b"), {"sample": 256})
+    rows = spark.createDataFrame([(0.5, 9.0), (0.6, 7.0), (0.6, 7.5)], "a double, b double")
+    got = {(r["a"], r["b"]): r["score"] for r in I.score(rows, model).collect()}
+    for key, depth in (((0.5, 9.0), 2.5), ((0.6, 7.0), 3.5), ((0.6, 7.5), 4.25)):
+        assert math.isclose(got[key], 0.5 - 2 ** (-depth / I.mean_path(256)), abs_tol=1e-11)
+    found = I.predict(I.score(rows, model))
+    assert {r["prediction"] for r in found.collect()} == {-1}
+
+
 def percentile_of(values, p):
     values = sorted(values)
     at = p * (len(values) - 1)
