@@ -76,10 +76,9 @@ def fact_serving(transactions: DataFrame, order: list[str],
 
 
 def join_dims(fact: DataFrame, dates: DataFrame, categories: DataFrame) -> DataFrame:
-    """Fact with its date (inner) and category (left). Both dimensions are bounded: one row
-    per calendar day and 14 categories."""
-    return (fact.join(F.broadcast(dates), "date_key")
-            .join(F.broadcast(categories), "category_key", "left"))
+    """Fact with its date (inner) and category (left). Dimensions are tables whose size Spark
+    knows: it broadcasts them while they are small, and otherwise splits frequent keys."""
+    return fact.join(dates, "date_key").join(categories, "category_key", "left")
 
 
 def monthly_category_spend(fact: DataFrame, dates: DataFrame, categories: DataFrame) -> DataFrame:

@@ -29,20 +29,24 @@ def anom_large(spark, sf):
         "source_file", "severity", "message", "date", "description", "amount", "category")
 
 
-@query(ANOMALIES + """SELECT source_file, severity, message, n FROM dupes""")
+@query(ANOMALIES + """SELECT d.source_file, d.severity, d.message, o.txn_date AS date, o.description,
+o.amount, o.category, count(*) AS copies
+FROM dupes d JOIN o ON o.source_file = d.source_file AND o.description = d.description
+  AND o.amount = d.amount GROUP BY ALL""")
 def anom_duplicate(spark, sf):
-    found = A.duplicates(X.silver(spark, sf))
-    copies = F.aggregate("transactions.copies", F.lit(0).cast("bigint"), lambda s, c: s + c)
-    return found.select("source_file", "severity", "message", copies.alias("n"))
+    return A.members(A.duplicates(X.silver(spark, sf))).select(
+        "source_file", "severity", "message", "date", "description", "amount", "category", "copies")
 
 
-@query(ALL_ANOMALIES + """SELECT type, severity, message, cast(1 AS bigint) AS members FROM large
-UNION ALL SELECT type, severity, message, n FROM dupes""")
+@query(ALL_ANOMALIES + """SELECT type, severity, message, txn_date AS date, description, amount,
+  category, cast(copies AS bigint) AS copies FROM large
+UNION ALL SELECT d.type, d.severity, d.message, o.txn_date, o.description, o.amount, o.category,
+  count(*) FROM dupes d JOIN o ON o.description = d.description AND o.amount = d.amount
+GROUP BY ALL""")
 def anom_detect(spark, sf):
-    """Both rules with all statements taken as one."""
-    found = A.detect(X.silver(spark, sf), scope=None)
-    copies = F.aggregate("transactions.copies", F.lit(0).cast("bigint"), lambda s, c: s + c)
-    return found.select("type", "severity", "message", copies.alias("members"))
+    """Both rules with all statements taken as one, with every member of every anomaly."""
+    return A.members(A.detect(X.silver(spark, sf), scope=None)).select(
+        "type", "severity", "message", "date", "description", "amount", "category", "copies")
 
 
 # ---- features ----------------------------------------------------------------------------

@@ -191,6 +191,14 @@ def gold(spark, sf):
     return star.dim_date(rows), star.dim_category_fixed(spark), fact
 
 
+def loaded_gold(spark, sf):
+    """The same as written tables, read back."""
+    folder = scratch(spark, "gold")
+    tables.write_gold(folder, *gold(spark, sf))
+    return [tables.read_table(spark, f"{folder}/{n}")
+            for n in ("dim_date", "dim_category", "fact_transaction")]
+
+
 @query(T + """SELECT 'dim_category' AS name, cast(14 AS bigint) AS n, 0 AS cents
 UNION ALL SELECT 'dim_date', count(DISTINCT txn_date), 0 FROM t
 UNION ALL SELECT 'fact_transaction', count(*), cast(sum(cents) AS bigint) FROM t""")
@@ -256,14 +264,14 @@ def sink_seed_dim_category(spark, sf):
         tables.seed_dim_category(spark, path)
     used = X.silver(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     dim = tables.read_table(spark, path)
-    return (used.join(F.broadcast(dim), F.col("category") == F.col("category_name"))
+    return (used.join(dim, F.col("category") == F.col("category_name"))
             .select("category_key", "category_name", "n"))
 
 
 @query(T + """SELECT txn_date, description, amount, category, currency,
 source_file || ':' || cast(cents AS varchar) AS txn_id FROM t""")
 def src_star_readback(spark, sf):
-    dates, categories, fact = gold(spark, sf)
+    dates, categories, fact = loaded_gold(spark, sf)
     return star.store_order(star.read_back(fact, dates, categories)).select(
         "txn_date", "description", "amount", "category", "currency", "txn_id")
 
@@ -276,7 +284,7 @@ def sink_publish_gold(spark, sf):
     tables.publish({"DIM_DATE": dates, "DIM_CATEGORY": categories, "FACT_TRANSACTION": fact},
                    lambda name: ("parquet", {"path": f"{folder}/{name}"}))
     out = {n: tables.read_table(spark, f"{folder}/{n}") for n in ("DIM_DATE", "FACT_TRANSACTION")}
-    return (out["FACT_TRANSACTION"].join(F.broadcast(out["DIM_DATE"]), "date_key")
+    return (out["FACT_TRANSACTION"].join(out["DIM_DATE"], "date_key")
             .groupBy("year", "category_key")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.sum(F.col("amount") * 100).cast("bigint").alias("cents")))

@@ -20,7 +20,7 @@ from .oracle import (ANOMALIES, FILES, STATS, T, category_key, category_of, half
                      one_of, plain)
 from .registry import query
 from .stated_forest import SCORED
-from .source_queries import _DIM_DATE, _PERSONAL, gold, union_parts
+from .source_queries import _DIM_DATE, _PERSONAL, gold, loaded_gold, union_parts
 
 SUM = "decimal(38,2)"
 
@@ -300,17 +300,32 @@ def validate_category(spark, sf):
 @query(T + f"""SELECT txn_date AS full_date, monthname(txn_date) AS month_name,
 category AS category_name, description, amount FROM t""")
 def join_fact_dims(spark, sf):
-    dates, categories, fact = gold(spark, sf)
+    dates, categories, fact = loaded_gold(spark, sf)
     return star.join_dims(fact, dates, categories).select(
         "full_date", "month_name", "category_name", "description", "amount")
 
 
-@query(T + """, d AS (SELECT category, cast(dense_rank() OVER (ORDER BY category) AS int) AS k
-  FROM (SELECT DISTINCT category FROM t))
-SELECT source_file, category, k AS category_key, count(*) AS n FROM t JOIN d USING (category)
-GROUP BY ALL""")
+# Categories as loads bring them: some missing, some outside the list.
+_LOADED = T + """, c AS (SELECT * REPLACE (CASE WHEN cents % 19 = 0 THEN NULL
+  WHEN cents % 23 = 0 THEN 'pets' ELSE category END AS category) FROM t),
+d AS (SELECT category AS name, cast(dense_rank() OVER (ORDER BY category NULLS FIRST) AS int) AS k
+  FROM (SELECT DISTINCT category FROM c))
+"""
+
+
+def loaded_silver(spark, sf):
+    """Silver as a written table, which fact rows and dimension are both made from."""
+    path = scratch(spark, "silver")
+    category = (F.when(F.col("cents") % 19 == 0, F.lit(None)).when(F.col("cents") % 23 == 0, "pets")
+                .otherwise(F.col("category")))
+    tables.overwrite(X.silver(spark, sf).withColumn("category", category), path)
+    return tables.read_table(spark, path)
+
+
+@query(_LOADED + """SELECT source_file, category, k AS category_key, count(*) AS n
+FROM c JOIN d ON c.category IS NOT DISTINCT FROM d.name GROUP BY ALL""")
 def join_surrogate_key(spark, sf):
-    rows = X.silver(spark, sf)
+    rows = loaded_silver(spark, sf)
     keyed = star.with_surrogate_key(rows, star.dim_category_ranked(rows))
     return (keyed.groupBy("source_file", "category", "category_key")
             .agg(F.count(F.lit(1)).alias("n")))
@@ -464,12 +479,13 @@ def agg_pseudo_statements(spark, sf):
     return kept.groupBy("source_file", "ym").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(T + "SELECT category, count(*) AS n FROM t GROUP BY category")
+@query(T + "SELECT category, count(*) AS n, (SELECT count(*) FROM t) AS total FROM t GROUP BY category")
 def agg_bronze_count(spark, sf):
     path = scratch(spark, "loaded")
     tables.overwrite(X.silver(spark, sf).select("category", "amount"), path)
     loaded = tables.read_table(spark, path)
-    return loaded.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return (loaded.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("total", tables.row_count(loaded).scalar()))
 
 
 # ---- windows -----------------------------------------------------------------------------
@@ -628,25 +644,29 @@ def gold_dim_date(spark, sf):
     return star.dim_date(X.silver(spark, sf))
 
 
-@query(T + f"""SELECT category AS category_name, {category_key('category')} AS fixed_key,
-cast(dense_rank() OVER (ORDER BY category) AS int) AS ranked_key, n
-FROM (SELECT category, count(*) AS n FROM t GROUP BY category)""")
+@query(_LOADED + f"""SELECT category AS category_name, {category_key('category')} AS fixed_key,
+k AS ranked_key, n FROM (SELECT category, count(*) AS n FROM c GROUP BY category) u
+JOIN d ON u.category IS NOT DISTINCT FROM d.name""")
 def gold_dim_category(spark, sf):
-    rows = X.silver(spark, sf)
-    fixed = star.dim_category_fixed(spark).withColumnRenamed("category_key", "fixed_key")
-    ranked = star.dim_category_ranked(rows).withColumnRenamed("category_key", "ranked_key")
-    used = rows.groupBy(F.col("category").alias("category_name")).agg(F.count(F.lit(1)).alias("n"))
-    return used.join(F.broadcast(fixed), "category_name").join(F.broadcast(ranked), "category_name")
-
-
-@query(T + """, d AS (SELECT category, cast(dense_rank() OVER (ORDER BY category) AS int) AS k
-  FROM (SELECT DISTINCT category FROM t)), x AS (
+    """Keys by rank for every category in use, null and unlisted ones too; by list, those are
+    the list's last."""
+    rows = loaded_silver(spark, sf)
+    used = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    ranked = star.with_surrogate_key(used, star.dim_category_ranked(rows))
+    ranked = ranked.select("category", F.col("category_key").alias("ranked_key"), "n")
+    fixed = star.with_surrogate_key(ranked, star.dim_category_fixed(spark))
+    return fixed.select(F.col("category").alias("category_name"),
+                        F.coalesce("category_key", F.lit(CATEGORIES.index("other"))).alias("fixed_key"),
+                        "ranked_key", "n")
+
+
+@query(_LOADED + """, x AS (
 SELECT cast(strftime(txn_date, '%Y%m%d') AS int) AS date_key, k AS category_key, description,
-  amount, is_outflow, currency, source_file FROM t JOIN d USING (category))
+  amount, is_outflow, currency, source_file FROM c JOIN d ON c.category IS NOT DISTINCT FROM d.name)
 SELECT sha256(date_key || '|' || description || '|' || cast(amount AS varchar) || '|'
   || source_file) AS txn_id, * FROM x""")
 def gold_fact_transaction(spark, sf):
-    rows = X.silver(spark, sf)
+    rows = loaded_silver(spark, sf)
     return star.fact_transaction(rows, star.dim_category_ranked(rows))
 
 
