@@ -436,16 +436,23 @@ def duration_histogram(spark, sf):
     return M.duration_histogram(_events(spark, sf))
 
 
-@query(FILES + """SELECT file_no, place AS row_idx, txn_date, description, amount, category
-FROM silver""")
+@query(FILES + """SELECT file_no, place AS row_idx, txn_date, description, amount, category,
+  NULL AS reason FROM silver
+UNION ALL SELECT file_no, place, NULL, NULL, NULL, NULL, 'unrecognized date' FROM lines
+  WHERE layout < 3 AND bad AND NOT blank
+UNION ALL SELECT DISTINCT file_no, NULL::INT, NULL::DATE, NULL, NULL::DECIMAL(18,2), NULL,
+  'missing date or description column' FROM lines WHERE layout = 3""")
 def stream_ingest_statements(spark, sf):
+    """Good rows and rejects of one stream, after a restart that replays its last batch."""
     folder = X.write_statement_files(spark, sf)
-    path = scratch(spark, "silver")
-    stream = jobs.ingest_statements(spark, folder, files_per_batch=50, name_by=X.number_of)
-    jobs.append_to(stream, path, jobs.checkpoint_path(spark))
-    return tables.read_table(spark, path).select(
-        F.col("source_file").alias("file_no"), "row_idx", "txn_date", "description", "amount",
-        "category")
+    path, lost, checkpoint = (scratch(spark, n) for n in ("silver", "rejects", "stream"))
+    for _ in range(2):
+        jobs.ingest_both(spark, folder, path, lost, checkpoint, files_per_batch=50, name_by=X.number_of)
+    columns = ["file_no", "row_idx", "txn_date", "description", "amount", "category", "reason"]
+    good = tables.read_table(spark, path).withColumnRenamed("source_file", "file_no")
+    bad = tables.read_table(spark, lost).withColumnRenamed("source_file", "file_no")
+    return (good.withColumn("reason", F.lit(None).cast("string")).select(columns)
+            .unionByName(bad.select("file_no", "row_idx", "reason"), allowMissingColumns=True))
 
 
 @query(FILES + """SELECT file_no, count(*) AS n, cast(sum(cents) AS bigint) AS cents FROM silver

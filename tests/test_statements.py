@@ -123,6 +123,31 @@ def test_stream_equals_batch(spark, folder, bronze, tmp_path):
         map(str, batch.select(key).collect()))
 
 
+def test_a_stream_names_its_rejects_and_a_replay_changes_nothing(spark, folder, bronze, tmp_path, monkeypatch):
+    path, lost, checkpoint = (str(tmp_path / n) for n in ("silver", "rejects", "checkpoint"))
+    writes = []
+
+    def killed(df, at):
+        writes.append(at)
+        if len(writes) == 4:  # between the two writes of the second batch
+            raise RuntimeError("killed")
+        tables.overwrite(df, at)
+
+    monkeypatch.setattr(jobs, "overwrite", killed)
+    with pytest.raises(Exception):
+        jobs.ingest_both(spark, folder, path, lost, checkpoint, files_per_batch=2)
+    for _ in range(2):
+        jobs.ingest_both(spark, folder, path, lost, checkpoint, files_per_batch=2)
+    assert writes[2] == writes[4]  # the batch was replayed into its folder
+    key = ["source_file", "row_idx", "txn_date", "description", "amount", "category"]
+    assert sorted(map(str, tables.read_table(spark, path).select(key).collect())) == sorted(
+        map(str, C.enrich(C.conform(bronze)).select(key).collect()))
+    got = {(r["source_file"], r["row_idx"]): r["reason"] for r in tables.read_table(spark, lost).collect()}
+    assert got == {("bad.csv", None): "missing date or description column",
+                   ("other.csv", 1): "unrecognized date", ("other.csv", 3): "more cells than columns"}
+    assert tables.read_table(spark, lost).count() == 3
+
+
 def test_replace_by_source(spark, tmp_path):
     path = str(tmp_path / "fact")
     first = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "source_file string, v int")
