@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tallywright import session
 from tallywright.llm import text as X
 from tallywright.llm import tokens
+from tallywright.llm.store import stored
 
 WINDOW = 4096
 
@@ -267,7 +268,9 @@ def place(cut: DataFrame, window: int = WINDOW, least_cut: int = 16, with_ids: b
                                      "sequence_id": bin_, "offset": offset, "ids": ids.tobytes()})
             yield pa.RecordBatch.from_pydict({k: pa.array([m[k] for m in made], pa.binary() if k == "ids" else pa.int64()) for k in out})
 
-    some = placed.where("poured >= 0").join(cut.select(*_KEY, "ids"), _KEY)
+    # Written first: few as a rule, so that they go to the ids instead of the ids to them.
+    poured = stored(placed.where("poured >= 0"), "poured")
+    some = poured.join(cut.select(*_KEY, "ids"), _KEY)
     return whole.select(out).unionByName(some.select(*names[:5], "poured", "ids").mapInArrow(cuts, types))
 
 
