@@ -43,6 +43,7 @@ def large_transactions(transactions: DataFrame, scope: str | None = "source_file
     cents, median = F.col("cents"), F.col("median")
     hits = rows.where((F.col("outflows") >= 3) & (median > 0) & (cents > 4 * median)
                       & (cents > LARGE_FLOOR))
+    # Fixed value: the message's words.
     message = F.concat(F.lit("Unusually large charge of "), grouped(cents / 100), F.lit(" (~"),
                        whole(cents / median), F.lit("x your typical spend)"))
     return hits.select(
@@ -68,6 +69,7 @@ def duplicate_groups(transactions: DataFrame, scope: str | None = "source_file")
 
 def duplicates(transactions: DataFrame, scope: str | None = "source_file") -> DataFrame:
     cents = outflow_cents(F.col("amount"))
+    # Fixed value: the message's words.
     message = F.concat(F.col("n").cast("string"), F.lit(" identical charges of "),
                        grouped(cents / 100), F.lit(" for '"), F.coalesce("description", F.lit("")), F.lit("'"))
     return duplicate_groups(transactions, scope).select(

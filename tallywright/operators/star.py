@@ -109,6 +109,7 @@ def weekly_digest(totals: DataFrame, anomalies: DataFrame, k: int = 8) -> DataFr
     categories. ``totals`` has one row per category; the first anomaly is an aggregate."""
     first = F.min_by("message", F.struct(F.col("type") != "large_transaction", "message"))
     head = anomalies.agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+    # The words of the report's lines.
     found = F.concat(F.lit("Found "), F.col("n").cast("string"),
                      F.when(F.col("n") == 1, " anomaly.").otherwise(" anomalies."),
                      F.coalesce(F.concat(F.lit(" "), F.col("first")), F.lit("")))

@@ -24,7 +24,9 @@ def _cell_text():
 
 @query(FILES + f"""SELECT file_no, place AS row_idx, header, {_CELLS} AS cells FROM lines""")
 def src_statement_csv(spark, sf):
-    return X.bronze(spark, sf).select(
+    """Every file by the reader that splits files."""
+    rows = statements.read_bronze(spark, X.write_statement_files(spark, sf), 0, X.number_of)
+    return rows.select(
         F.col("source_file").alias("file_no"), "row_idx",
         F.array_join("columns", "|").alias("header"), _cell_text())
 
@@ -67,8 +69,10 @@ def src_admission(spark, sf):
 def src_row_idx(spark, sf):
     place = (F.when(F.array_contains("columns", "Narration"), 2)
              .when(F.array_contains("columns", "Foo"), 0).otherwise(1))
-    return X.bronze(spark, sf).select(F.col("source_file").alias("file_no"), "row_idx",
-                                      F.get("cells", place).alias("text"))
+    # Files of most layouts are above the bound, which sends them to the reader that splits files.
+    rows = statements.read_bronze(spark, X.write_statement_files(spark, sf), 250_000, X.number_of)
+    return rows.select(F.col("source_file").alias("file_no"), "row_idx",
+                       F.get("cells", place).alias("text"))
 
 
 _ORDERS = """

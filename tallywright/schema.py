@@ -109,3 +109,15 @@ DIM_CATEGORY = T.StructType([
     T.StructField("category_key", T.IntegerType()),
     T.StructField("category_name", T.StringType()),
 ])
+
+# Parts of column names by which a data set's columns are found, in this order.
+NAME_PROBES = {
+    "bank_day": ("date", "time"), "bank_amount": ("amount", "value"),
+    "bank_kind": ("type", "direction"),
+    "bank_detail": ("merchant", "description", "category", "narration", "name", "detail"),
+    "ledger_day": ("date",), "ledger_amount": ("amount",),
+    "ledger_flow": ("income", "expense", "type"), "ledger_category": ("categor",),
+}
+# Whole column names.
+ACCOUNT_NAMES = ("account_id", "accountid", "account", "customerid")
+NOTE_NAMES = ("note", "description", "narration", "subcategory")

@@ -11,7 +11,7 @@ from ..functions.text import categorize, joined, redact
 from ..functions.values import (default_currency, expense_category, flow_sign, is_income,
                                 is_outflow, strip, year_month)
 from ..operators.skew import keep_groups
-from ..schema import MONEY
+from ..schema import ACCOUNT_NAMES, MONEY, NAME_PROBES, NOTE_NAMES
 
 _TIMESTAMPS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy",
                "M/d/yyyy H:mm")
@@ -82,8 +82,8 @@ def household_daily(ledger: DataFrame) -> DataFrame:
     return _finish(rows, [F.col("Mode"), year_month(F.col("txn_date"))], 0, 5)
 
 
-def _first_with(columns: list[str], *parts: str) -> str | None:
-    return next((c for c in columns if any(part in c for part in parts)), None)
+def _first_with(columns: list[str], probe: str) -> str | None:
+    return next((c for c in columns if any(part in c for part in NAME_PROBES[probe])), None)
 
 
 def _cell(frame: DataFrame, name: str | None) -> Column:
@@ -97,12 +97,9 @@ def generic_bank(bank: DataFrame) -> DataFrame:
     or no amount."""
     tidy = bank.toDF(*[c.strip().lower().replace(" ", "_") for c in bank.columns])
     names = tidy.columns
-    day, amount = _first_with(names, "date", "time"), _first_with(names, "amount", "value")
-    kind = _first_with(names, "type", "direction")
-    detail = _first_with(names, "merchant", "description", "category", "narration", "name",
-                         "detail")
-    account = next((c for c in ("account_id", "accountid", "account", "customerid")
-                    if c in names), None)
+    day, amount = _first_with(names, "bank_day"), _first_with(names, "bank_amount")
+    kind, detail = _first_with(names, "bank_kind"), _first_with(names, "bank_detail")
+    account = next((c for c in ACCOUNT_NAMES if c in names), None)
     found = F.lit(bool(day and amount))
     raw = F.substring(_cell(tidy, detail), 1, 100)
     rows = tidy.where(found).select(
@@ -125,12 +122,12 @@ def personal_finance(money: DataFrame, run_date: str) -> DataFrame:
     ``run_date``."""
     tidy = money.toDF(*[c.strip().lower() for c in money.columns])
     names = tidy.columns
-    day, amount = _first_with(names, "date"), _first_with(names, "amount")
-    flow = _first_with(names, "income", "expense", "type")
-    notes = [c for c in ("note", "description", "narration", "subcategory") if c in names]
+    day, amount = _first_with(names, "ledger_day"), _first_with(names, "ledger_amount")
+    flow = _first_with(names, "ledger_flow")
+    notes = [c for c in NOTE_NAMES if c in names]
     income = is_income(_cell(tidy, flow)) if flow else F.lit(False)
     size = F.abs(_number(_cell(tidy, amount))).cast(MONEY)
-    text = joined([_cell(tidy, _first_with(names, "categor")), *[_cell(tidy, n) for n in notes]],
+    text = joined([_cell(tidy, _first_with(names, "ledger_category")), *[_cell(tidy, n) for n in notes]],
                   otherwise="")
     when = _day(_cell(tidy, day), _DAY_FIRST) if day else F.to_date(F.lit(run_date))
     rows = tidy.where(F.lit(bool(amount))).select(

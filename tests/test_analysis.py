@@ -267,7 +267,7 @@ def test_ranked_categories_keep_unknown_ones_and_null(spark):
 def test_labels(spark):
     cases = [('["dining", "income"]', ["Swiggy order", "Salary"], ["dining", "income"]),
              ('```json\n["groceries"]\n```', ["BigBasket"], ["groceries"]),
-             ('Sure! Here you go: ["transport"] - hope that helps', ["Uber ride"], ["transport"]),
+             ('The label of line 1 is below.\n["travel"]\nNothing else was found.', ["Night train to Pune"], ["travel"]),
              ('["dining", "not-a-category"]', ["Swiggy order", "Netflix subscription"],
               ["dining", "subscriptions"]),
              ("no idea", ["Uber ride"], ["transport"]), (None, ["Uber ride"], ["transport"]),

@@ -1,11 +1,12 @@
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallywright.operators import conform as C
-from tallywright.sources import datasets, snapshots, statements, tables
+from tallywright.sources import datasets, large_files, snapshots, statements, tables
 from tallywright.streaming import jobs
 
 FILES = {
@@ -257,3 +258,45 @@ def test_cards_century(spark):
     assert {r["source_file"] for r in got} == {"Delhi/2014-10", "Delhi/1998-10"}
     assert {r["amount"] for r in got} == {Decimal("-1500.00")}
     assert {r["category"] for r in got} == {"utilities"}
+
+
+def test_pieces_of_lines():
+    cut = lambda v, i: list(large_files.pieces(v, i))
+    assert cut("a,b", False) == [("a,b", True, True)] and cut("", False) == [("", True, True)]
+    assert cut("a,b\r", False) == [("a,b", True, True)] and cut("a,b", True) == [("a,b\n", False, False)]
+    assert cut('a,"b', False) == [('a,"b\n', True, False)] and cut('b""c', True) == [('b""c\n', False, False)]
+    assert cut('c",d', True) == [('c",d', False, True)] and cut('c","d', True) == [('c","d\n', False, False)]
+    assert cut('a"b,c', False) == [('a"b,c', True, True)]  # a quote opens only at the start of a cell
+    assert cut("a\rb,\r", False) == [("a", True, True), ("b,", True, True)]
+    assert cut('"a\rb",c\rd', False) == [('"a\rb",c', True, True), ("d", True, True)]
+
+
+@pytest.mark.parametrize("split", [64, 700, 1 << 27])
+def test_large_files_are_split_and_read_alike(spark, folder, tmp_path, split):
+    """Files of many splits, with quotes that run over lines and splits, equal the whole-file read."""
+    rng = random.Random(5)
+    texts = ["plain", '"quoted, text"', '"two\nlines"', '"a ""b""\n\n,c"', 'TV 42" LG', '""', '"x' + "\ny" * 40 + '"', "é中"]
+    for i, name in enumerate(("big one.csv", "BIG2.csv")):
+        lines = [f"2024-01-{k % 28 + 1:02d},{rng.choice(texts)},{k}" + ("\r" if rng.random() < 0.1 else "") for k in range(300)]
+        lines[50:50] = ["", ",,"]
+        (tmp_path / name).write_text("﻿" * i + "Date,Description,Amount\n" + "\n".join(lines), newline="")
+    (tmp_path / "open.csv").write_text('Date,Description,Amount\n2024-01-01,"TV,-1\n' + "2024-01-02,x,-2\n" * 50)
+    (tmp_path / "bad head.csv").write_text("Foo,Bar\n" + "1,2\n" * 50)
+    for name, text in FILES.items():
+        (tmp_path / name).write_text(text, newline="")
+    key = ["source_file", "row_idx"]
+    want = statements.to_bronze(statements.read_files(spark, str(tmp_path))).orderBy(key).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for limit in (0, 600, 1 << 30):
+            got = statements.read_bronze(spark, str(tmp_path), limit)
+            assert got.orderBy(key).collect() == want
+        if split == 700:
+            assert large_files.lines(spark, str(tmp_path), 600).select("file", "start").distinct().count() > 20
+        lost = large_files.unclosed(large_files.lines(spark, str(tmp_path), 0))
+        assert [r["file"].rsplit("/", 1)[-1] for r in lost.collect()] == ["open.csv"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
