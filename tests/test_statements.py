@@ -1,3 +1,4 @@
+import bisect
 import datetime
 import random
 from decimal import Decimal
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright.operators import conform as C
+from tallywright.operators import metrics
 from tallywright.sources import datasets, large_files, snapshots, statements, tables
 from tallywright.streaming import jobs
 
@@ -300,3 +302,26 @@ def test_large_files_are_split_and_read_alike(spark, folder, tmp_path, split):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("accuracy", [20, 200])
+def test_stream_percentile_keeps_its_rank_error(spark, tmp_path, accuracy):
+    """Against the exact batch figure, over several files that each bring part of the window."""
+    folder, path = str(tmp_path / "events"), str(tmp_path / "p95")
+    n = 20_000
+    value = (F.col("id") * 7919 % 10_007).cast("double") ** 2
+    rows = spark.range(n).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 50).alias("ts"),
+        F.when(F.col("id") % 10 == 0, "rare").otherwise("often").alias("key"), value.alias("value"))
+    rows.repartition(6).write.parquet(folder)
+    events = jobs.events_stream(spark, folder, rows.schema)
+    jobs.window_result(jobs.percentile(events, "key", "1 day", 0.95, accuracy), path,
+                       str(tmp_path / "checkpoint"), ["window_start", "key"])
+    got = {r["key"]: r["value"] for r in tables.read_table(spark, path).collect()}
+    exact = {r["key"]: r["value"] for r in metrics.percentile_by_key(rows, "key", "1 day", 0.95).collect()}
+    assert set(got) == set(exact) == {"rare", "often"}
+    for key in got:
+        values = sorted(r["value"] for r in rows.where(F.col("key") == key).collect())
+        low, high = bisect.bisect_left(values, got[key]), bisect.bisect_right(values, got[key])
+        wanted = bisect.bisect_left(values, exact[key])
+        assert low - len(values) / accuracy - 1 <= wanted <= high + len(values) / accuracy + 1
