@@ -19,8 +19,8 @@ of a group are in one component or were compared, no link is lost, and no group
 all its pairs.
 
 Defined cases: null texts and texts without words have no set, n_shingles 0, and link with nothing;
-a text of fewer words than a shingle is one shingle; null ids take no part in links and stand for
-themselves; repeated rows link as equal sets; other columns are not read.
+a text of fewer words than a shingle is one shingle; rows with a null id have the size of their set,
+take no part in links and have no component; repeated rows link as equal sets; other columns are not read.
 """
 
 from __future__ import annotations
@@ -145,8 +145,20 @@ def _keys(n_words: int, percent: int):
     return run
 
 
+def _items(n_words: int):
+    """doc_id, text -> doc_id, items: the set itself."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, bounds in X.slices(batch, "text", 1 << 19):
+                h, at = shingle_sets(data, bounds, n_words)
+                yield pa.RecordBatch.from_arrays([rows.column(0), X.ragged(h.view(np.int64), at)], names=["doc_id", "items"])
+
+    return run
+
+
 def _packed(n_words: int, percent: int):
-    """doc_id, text -> the set and its two sketches (own band, band below), for comparing."""
+    """doc_id, text -> the size of the set and its two sketches (own band, band below)."""
     low = bands(percent)
 
     def run(batches):
@@ -155,11 +167,11 @@ def _packed(n_words: int, percent: int):
                 h, at = shingle_sets(data, bounds, n_words)
                 size = np.diff(at)
                 own = np.searchsorted(low, size, "right") - 1
-                columns = [rows.column(0), pa.array(own), pa.array(size), X.ragged(h.view(np.int64), at)]
+                columns = [rows.column(0), pa.array(own), pa.array(size)]
                 for shift in (0, 1):
                     words, marks, _, wat = sketch(h, at, np.where(size > 0, parts_of(low, np.maximum(own - shift, 0), percent), 0))
                     columns += [X.ragged(words.view(np.int64), wat), X.ragged(marks.view(np.int64), wat)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "n", "items", "sketch", "marks", "below", "below_marks"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "n", "sketch", "marks", "below", "below_marks"])
 
     return run
 
@@ -171,23 +183,27 @@ def only(docs: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataF
     return docs.join(ids.hint("broadcast" if small else "shuffle_hash"), on, how)
 
 
-def _linked(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, packed: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) that pass the Hamming bound and then the exact comparison. Sketches,
-    a tenth of the sets' size, go to the pairs first; sets go only to the pairs that are left."""
+    a tenth of the sets' size, go to the pairs first; sets are made anew from the texts, and only of
+    documents in the pairs that are left."""
 
-    def side(name, *columns):
-        return packed.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    def side(df, name, *columns):
+        return df.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
     sketched = ("band", "n", "sketch", "below")
-    both = pairs.join(side("a", *sketched), "a").join(side("b", *sketched), "b")
+    both = pairs.join(side(packed, "a", *sketched), "a").join(side(packed, "b", *sketched), "b")
     # Both sketches in the layout of the lower band of the two.
     mine = F.when(F.col("a_band") <= F.col("b_band"), F.col("a_sketch")).otherwise(F.col("a_below"))
     yours = F.when(F.col("b_band") <= F.col("a_band"), F.col("b_sketch")).otherwise(F.col("b_below"))
     apart = F.aggregate(F.zip_with(mine, yours, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fits = (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
-    left = both.where(fits).select("a", "b", "a_n", "b_n").join(side("a", "items"), "a").join(side("b", "items"), "b")
+    close = stored(both.where(fits).select("a", "b"), "close", release=True)
+    wanted = stored(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "close")
+    sets = only(texts, wanted, "left_semi").mapInArrow(_items(n_words), "doc_id bigint, items array<bigint>")
+    left = close.join(side(sets, "a", "items"), "a").join(side(sets, "b", "items"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
-    return left.where(common * 100 >= (F.col("a_n") + F.col("b_n") - common) * percent).select("a", "b")
+    return left.where(common * 100 >= (F.size("a_items") + F.size("b_items") - common) * percent).select("a", "b")
 
 
 def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -214,9 +230,9 @@ def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFra
     if not member.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id"])
     packed = stored(texts.mapInArrow(
-        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, items array<bigint>, sketch array<bigint>, marks array<bigint>, below array<bigint>, below_marks array<bigint>"), "shingle-sets", release=True)
-    found = stored(_linked(pairs, packed, percent), "links", release=True)
-    return member, *_resolve(met, pairs, found, packed, percent)
+        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, sketch array<bigint>, marks array<bigint>, below array<bigint>, below_marks array<bigint>"), "sketches", release=True)
+    found = stored(_linked(pairs, packed, texts, n_words, percent), "links", release=True)
+    return member, *_resolve(met, pairs, found, packed, texts, n_words, percent)
 
 
 def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -255,7 +271,7 @@ def _compared(percent: int):
     return run
 
 
-def _resolve(met: DataFrame, done: DataFrame, found: DataFrame, packed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _resolve(met: DataFrame, done: DataFrame, found: DataFrame, packed: DataFrame, texts: DataFrame, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links between members of a key's group that are in different components, added to those
     found, and the components then."""
     root = graph.components(found)
@@ -285,7 +301,7 @@ def _resolve(met: DataFrame, done: DataFrame, found: DataFrame, packed: DataFram
     near = left.groupBy("key", "x", "y").cogroup(right.groupBy("key", "x", "y")).applyInArrow(_compared(percent), "a bigint, b bigint")
 
     fresh = stored(pairs.union(near).distinct().join(done, ["a", "b"], "left_anti"), "candidates")
-    new = stored(_linked(fresh, packed, percent), "links")
+    new = stored(_linked(fresh, packed, texts, n_words, percent), "links")
     if new.isEmpty():
         return found, root
     found = stored(found.union(new), "links")
@@ -296,5 +312,7 @@ def classes(docs: DataFrame, n_words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every document."""
     member, _, root = links(docs, n_words, percent)
     root = root.select(F.col("node").alias("rep"), "root")
-    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        _sets(n_words), "doc_id bigint, n bigint, sum_a bigint, sum_b bigint")
+    nameless = nameless.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
     return member.join(root, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")).union(nameless)
