@@ -30,13 +30,18 @@ def fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a document is held out; one without an id is not (and nothing is learned from it)."""
+    return F.coalesce(fold(modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 @_query
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywright.llm import language
 
     docs = _read(spark, sf_dir, "documents")
     crf = language.fit(docs.where(fold(3) != 1))
-    return language.predict(docs, crf).withColumn("held_out", fold(3) == 1).select("doc_id", "held_out", "lang_pred", "score")
+    return language.predict(docs, crf).select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
 @_query
@@ -78,7 +83,7 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").alias("label"))
     scored = compression.score(docs, compression.fit(docs.where(fold(5) != 0), labels))
-    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @_query
@@ -88,7 +93,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").alias("grade"))
     graded = severity.predict(docs, severity.fit(docs.where(fold(5) != 0), labels))
-    return graded.select("doc_id", (fold(5) == 0).alias("held_out"), "grade", "expected_severity", F.col("p_above").alias("p_toxic"), (F.col("p_above") >= 0.5).alias("toxic"))
+    return graded.select("doc_id", held_out(5, 0), "grade", "expected_severity", F.col("p_above").alias("p_toxic"), (F.col("p_above") >= 0.5).alias("toxic"))
 
 
 @_query
@@ -113,7 +118,7 @@ def op9_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = docs.where(fold(7) != 2)
     counts = lm_scoring.count_tokens(train)
     scored = lm_scoring.score(docs, lm_scoring.fit(train, counts), counts)
-    return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @_query
@@ -171,6 +176,55 @@ n AS (SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
+ORACLE["op12_structure_repair"] = r"""
+WITH RECURSIVE z AS (
+  SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') AS conv, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ord(k[i])::BIGINT),
+        lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
+        4294967295::BIGINT), 4294967295) % 20 AS fault FROM z),
+m AS (SELECT conv, conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS pos FROM m),
+f AS (SELECT *, role[1] AS initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid,
+        row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again FROM o),
+g AS (SELECT *, solid = '' AS blank, solid <> '' AND again AS duplicate,
+        solid <> '' AND NOT again AND NOT contains('.!?', solid[-1]) AS truncated,
+        lag(initial) OVER (PARTITION BY conv ORDER BY pos) || initial AS pair FROM f),
+d AS (
+  SELECT conv, 0::BIGINT AS pos, {'c': 0::BIGINT, 't': ''} AS e, {'c': 1000000000::BIGINT, 't': ''} AS y,
+         {'c': 3::BIGINT, 't': 'I'} AS u, {'c': 6::BIGINT, 't': 'II'} AS a FROM (SELECT DISTINCT conv FROM g)
+  UNION ALL
+  SELECT conv, pos, e, y, u, list_min([a, {'c': u.c + 3, 't': u.t || 'I'}]) FROM (
+    SELECT conv, pos, e, y, a, list_min([u, {'c': e.c + 3, 't': e.t || 'I'}, {'c': y.c + 3, 't': y.t || 'I'}, {'c': a.c + 3, 't': a.t || 'I'}]) AS u FROM (
+      SELECT d.conv, g.pos, {'c': e.c + 4, 't': e.t || 'D'} AS e,
+        list_min([{'c': y.c + 4, 't': y.t || 'D'}, {'c': CASE WHEN ok AND initial = 's' THEN e.c + extra ELSE 1000000000 END, 't': e.t || 'K'}]) AS y,
+        list_min([{'c': u.c + 4, 't': u.t || 'D'}]
+          || list_transform([e, y, a], lambda s: {'c': CASE WHEN ok AND initial = 'u' THEN s.c + extra ELSE 1000000000 END, 't': s.t || 'K'})
+          || list_transform([e, y, a], lambda s: {'c': CASE WHEN ok THEN s.c + extra + 3 ELSE 1000000000 END, 't': s.t || 'R'})) AS u,
+        list_min([{'c': a.c + 4, 't': a.t || 'D'}, {'c': CASE WHEN ok AND initial = 'a' THEN u.c + extra ELSE 1000000000 END, 't': u.t || 'K'},
+          {'c': CASE WHEN ok THEN u.c + extra + 3 ELSE 1000000000 END, 't': u.t || 'R'}]) AS a
+      FROM d JOIN (SELECT *, NOT blank AND NOT duplicate AS ok, CASE WHEN truncated THEN 3 ELSE 0 END AS extra FROM g) g
+        ON g.conv = d.conv AND g.pos = d.pos + 1))),
+b AS (SELECT conv, list_min([e, a]) AS best FROM d QUALIFY row_number() OVER (PARTITION BY conv ORDER BY pos DESC) = 1),
+x AS (SELECT conv, i, best.t[i] AS op FROM b, unnest(range(1, length(best.t) + 1)) AS r(i)),
+p AS (SELECT *, sum((op <> 'I')::INT) OVER w AS pos, sum((op <> 'D')::INT) OVER w AS nth FROM x
+      WINDOW w AS (PARTITION BY conv ORDER BY i ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT p.conv, i, op, nth, g.role, g.text, max((op = 'K' AND nth = 1 AND initial = 's')::INT) OVER (PARTITION BY p.conv) AS lead
+      FROM p LEFT JOIN g ON g.conv = p.conv AND g.pos = p.pos),
+v AS (SELECT conv, string_agg(CASE WHEN op = 'K' THEN role WHEN (nth - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+        || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS whole FROM q WHERE op <> 'D' GROUP BY conv),
+n AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.t, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations) c
+LEFT JOIN n USING (conv) LEFT JOIN b USING (conv) LEFT JOIN v USING (conv)
+"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -374,12 +374,28 @@ def test_hard_negatives_awkward(spark, monkeypatch):
     assert twice == 2 * sum(w[0] == 0 for w in want)
 
 
-def test_hard_negatives_equal_their_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_structure_repair"])
+def test_new_queries_equal_their_sql(spark, sf_dir, name):
     import duckdb
 
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf_dir}/embeddings.parquet')")
-    want = db.sql(queries.ORACLE["op11_hard_negatives"])
-    got = queries.op11_hard_negatives(spark, sf_dir)
+    for table in ("embeddings", "conversations"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    want = db.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_sql_of_the_repair_on_awkward_rows(spark):
+    """The SQL against the brute-force version, with nulls, ties, repeats and long conversations."""
+    import duckdb
+    import pandas as pd
+
+    rows = [r for r in conversation_rows() if r[0] != 904]  # whose gaps are beyond a long
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    db = duckdb.connect()
+    db.register("frame", frame)
+    db.sql("CREATE VIEW conversations AS SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role::VARCHAR AS role, text::VARCHAR AS text FROM frame")
+    got = {r[0]: tuple(r[1:]) for r in db.sql(queries.ORACLE["op12_structure_repair"]).fetchall()}
+    assert got == {c: reported(t)[0] for c, t in damaged(rows).items()}
