@@ -72,10 +72,11 @@ def _positions_by_range(df: DataFrame, keys: list[str], order: list, name: str)
     the same group holds in earlier ranges. Ranges cut through groups, so none is too big."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # equal rows would all land in one range; their read position keeps them apart
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    order = [*[F.col(k) for k in keys], *order, F.col("_tie")]
-    ranges = cut(tied.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_tie"))
+    # rows that tie follow a hash of their content; rows equal in all would all land in one range,
+    # and their read position keeps them apart
+    tied = df.withColumns({"_hash": F.xxhash64(*df.columns), "_tie": F.monotonically_increasing_id()})
+    order = [*[F.col(k) for k in keys], *order, F.col("_hash"), F.col("_tie")]
+    ranges = cut(tied.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_hash", "_tie"))
     at = F.monotonically_increasing_id()
     placed = ranges.withColumn("_at", at).withColumns({
         "_range": F.shiftright("_at", 33).cast("int"),
