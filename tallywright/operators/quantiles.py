@@ -6,8 +6,6 @@ one. A bin has at most 2^20 different values and a span of 2^40 at most 2^20 bin
 a task holds of a group, however many rows it has. All steps read the one shuffle of the counts.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +15,10 @@ _BIG = "decimal(38,0)"
 FIGURES = ("n", "mean", "std")
 
 
-def _same(keys: list[str], prefix: str) -> Column:
-    """Equal keys, null as one value. Without keys all rows are one group."""
-    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys], F.lit(True))
-
-
-def _prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
+def _group(keys: list[str]) -> Column:
+    """The group as one value that is never null, so that it joins and shuffles as it is. Without
+    keys all rows are one group."""
+    return F.struct(*[F.col(k).alias(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
 def _bin_of(bins: Column, rank: Column) -> Column:
@@ -58,14 +53,14 @@ def percentile_by(df: DataFrame, keys: list[str], value: str, p: float, name: st
     has no row."""
     figures = figures or {}
     counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, F.col(value).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+              .groupBy(_group(keys).alias("_k"), F.col(value).cast("long").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")).withColumn("_bin", F.shiftright("_v", bits)))
     big = F.col("_v").cast(_BIG)
     sums = {"_s1": F.sum((big * F.col("_c")).cast(_BIG)), "_s2": F.sum((big * big * F.col("_c")).cast(_BIG))}
     wanted = {"mean": ["_s1"], "std": ["_s1", "_s2"]}
     needed = sorted({s for f in figures.values() for s in wanted.get(f, [])})
-    binned = counts.withColumn("_bin", F.shiftright("_v", bits))
-    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"), *[sums[s].alias(s) for s in needed])
-    groups = bins.groupBy(*keys).agg(
+    bins = counts.groupBy("_k", "_bin").agg(F.sum("_c").alias("_c"), *[sums[s].alias(s) for s in needed])
+    groups = bins.groupBy("_k").agg(
         F.sum("_c").alias("_n"),
         F.sort_array(F.collect_list(F.struct(F.col("_bin").alias("bin"), F.col("_c").alias("c")))).alias("_bins"),
         *[F.sum(s).cast(_BIG).alias(s) for s in needed])
@@ -74,20 +69,23 @@ def percentile_by(df: DataFrame, keys: list[str], value: str, p: float, name: st
                                  "_high": _bin_of(F.col("_bins"), F.ceil(place))})
     # One row for each bin that is looked into, with what is known of its group.
     known = ["_n", *needed]
-    targets = groups.select(*keys, *known, F.col("_low.base").alias("_base"),
+    targets = groups.select("_k", *known, "_low", "_high",
                             F.explode(F.array_distinct(F.array("_low.bin", "_high.bin"))).alias("_bin"))
-    by = [*keys, "_bin"]
-    inside = binned.join(_prefixed(targets, by, "_t"), _same(by, "_t"))
-    found = inside.groupBy(*keys, *known, "_base").agg(
+    inside = counts.groupBy("_k", "_bin").agg(
         F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_c").alias("c")))).alias("_values"))
-    low = _value_at(F.col("_values"), F.floor(place) - F.col("_base"))
-    high = _value_at(F.col("_values"), F.ceil(place) - F.col("_base"))
+
+    def found_in(bin_, rank):
+        return F.when(F.col("_bin") == F.col(bin_)["bin"], _value_at(F.col("_values"), rank - F.col(bin_)["base"]))
+
+    ends = inside.join(targets, ["_k", "_bin"]).withColumns(
+        {"_lowest": found_in("_low", F.floor(place)), "_highest": found_in("_high", F.ceil(place))})
+    found = ends.groupBy("_k", *known).agg(F.max("_lowest").alias("_lowest"), F.max("_highest").alias("_highest"))
     part = place - F.floor(place)
     made = {"n": F.col("_n"), "mean": F.col("_s1").cast("double") / F.col("_n"),
             "std": _deviation(F.col("_n"), F.col("_s1"), F.col("_s2")) if "_s2" in needed else F.lit(None)}
-    return (found.withColumns({"_lowest": low, "_highest": high})
-            .select(*keys, ((1 - part) * F.col("_lowest") + part * F.col("_highest")).alias(name),
-                    *[made[f].alias(alias) for alias, f in figures.items()]))
+    return found.select(
+        *[F.col("_k")[k].alias(k) for k in keys], ((1 - part) * F.col("_lowest") + part * F.col("_highest")).alias(name),
+        *[made[f].alias(alias) for alias, f in figures.items()])
 
 
 def with_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str,
@@ -100,5 +98,5 @@ def with_percentile(df: DataFrame, keys: list[str], value: str, p: float, name:
     found = percentile_by(df, keys, value, p, name, figures, bits)
     if not keys:
         return df.withColumns({a: found.select(a).scalar() for a in (name, *figures)})
-    return (df.join(_prefixed(found, keys, "_g"), _same(keys, "_g"), "left")
-            .drop(*[f"_g{k}" for k in keys]))
+    figures_of = found.select(_group(keys).alias("_k"), name, *figures)
+    return df.withColumn("_k", _group(keys)).join(figures_of, "_k", "left").drop("_k")
