@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.llm.store import small_batches
+
 QUERIES = {}
 ORACLE: dict[str, str] = {}
 
@@ -15,6 +17,8 @@ def _query(fn):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("documents", "pages"):
+        small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright import session
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: Spark's usual 10,000 rows to a batch make tens of megabytes, which JVM and
+    Python each hold for every task, outside the heap. A session with another setting keeps it."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))
+
 
 def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """`df` as a table. Spark removes a shuffle's files when the driver's garbage collector finds

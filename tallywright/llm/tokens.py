@@ -7,7 +7,6 @@ stay. So it holds at most `CACHED_WORDS` words and one slice's, and hot words ar
 
 from __future__ import annotations
 
-import json
 import re
 
 import numpy as np
@@ -57,12 +56,13 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        rules = json.loads(self.tokenizer.to_str())
-        self.values = X.BYTES if '"Lowercase"' in json.dumps(rules["normalizer"]) else _CASED
-        self.parted = _RUNS in json.dumps(rules["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+        # The parts' own states: the whole file has the vocabulary and the merges in it too.
+        normal, parts = (x.__getstate__().decode() if x else "" for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        self.values = X.BYTES if '"Lowercase"' in normal else _CASED
+        self.parted = _RUNS in parts.replace("\\\\", "\\")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
-        self.parted &= rules["model"].get("end_of_word_suffix") == "</w>"
+        self.parted &= getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32
         self.cached = CACHED_WORDS if cached is None else cached
         self._lay(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(1, np.uint32), np.zeros(0, self.kind))
