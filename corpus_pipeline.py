@@ -2,20 +2,21 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All stages but the last return the columns of `documents`.
-The near-duplicate and the decontamination stages decide on rows, not on ids: they write a row id
-beside the documents first and drop it at their end, so documents without an id, or that share one,
+The near-duplicate and the decontamination stages decide on rows, not on ids: they give each row an
+id by its file and place and drop it at their end, so documents without an id, or that share one,
 are each decided on. Line deduplication cuts rows equal in id and text alike; the copies go in the
 next stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm import language, line_dedup, packing, parity_join, positional_index
 from tallywright.llm.queries import fold, tokenizer
-from tallywright.llm.store import stored
+from tallywright.llm.store import small_batches, stored
 
 #: No SQL states a fitted language model; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -25,8 +26,16 @@ ROW = "__row"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """`docs` with a row id, written down so that it is the same each time it is read."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """`docs` with a row id that is the same each time it is read, however the files are split: the
+    file's place among the files and the row's in its file. Documents that are not read from files
+    are written down first."""
+    try:
+        placed = docs.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    place = F.row_number().over(Window.orderBy("__file")).cast("bigint")
+    files = stored(placed.select("__file").distinct().withColumn("__place", place), "files")
+    return placed.join(files, "__file").withColumn(ROW, F.shiftleft("__place", 40) + F.col("__at")).select(*docs.columns, ROW)
 
 
 def _by_row(rows: DataFrame) -> DataFrame:
@@ -40,6 +49,7 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the language its text is predicted to be in; `und` goes."""
+    small_batches(spark)
     crf = language.fit(docs.where(fold(3) != 1))
     named = language.predict(docs, crf, docs.columns, ("__lang", "__score")).where(F.col("__lang") != language.UNKNOWN)
     return named.withColumn("lang", F.col("__lang")).select(docs.columns)
@@ -47,6 +57,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are cut; a document left without text goes."""
+    small_batches(spark)
     left = line_dedup.dedup(docs, removed="__removed").where((F.col("__removed") == 0) | F.col("text").rlike("\\S"))
     return left.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
@@ -54,6 +65,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by sets of five-word shingles, at 0.8 or more, the least id stays (a row
     without an id only where no row has one)."""
+    small_batches(spark)
     rows = _rows(docs)
     grouped = stored(parity_join.classes(_by_row(rows), n_words=5, percent=80).select(F.col("doc_id").alias(ROW), "component_id"), "near-duplicates")
     # A component's id is its least row: with another row in it there is something to decide.
@@ -65,6 +77,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that passages of the benchmark contaminate go."""
+    small_batches(spark)
     rows = _rows(docs)
     found = positional_index.decontaminate(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
@@ -72,6 +85,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, and their places in the sequences."""
+    small_batches(spark)
     packed = packing.pack(docs, tokenizer(), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
