@@ -191,13 +191,18 @@ def _linked(pairs: DataFrame, packed: DataFrame, texts: DataFrame, n_words: int,
     def side(df, name, *columns):
         return df.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    sketched = ("band", "n", "sketch", "below")
-    both = pairs.join(side(packed, "a", *sketched), "a").join(side(packed, "b", *sketched), "b")
-    # Both sketches in the layout of the lower band of the two.
+    # Sizes first: they say which layout a pair is compared in, that of the lower band of the two,
+    # and sets of too different sizes need no sketches.
+    sized = pairs.join(side(packed, "a", "band", "n"), "a").join(side(packed, "b", "band", "n"), "b")
+    near = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    sized = sized.where((F.abs(F.col("a_band") - F.col("b_band")) <= 1) & near)
+    words = ("sketch", "below")
     mine = F.when(F.col("a_band") <= F.col("b_band"), F.col("a_sketch")).otherwise(F.col("a_below"))
     yours = F.when(F.col("b_band") <= F.col("a_band"), F.col("b_sketch")).otherwise(F.col("b_below"))
-    apart = F.aggregate(F.zip_with(mine, yours, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    fits = (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
+    half = sized.join(side(packed, "a", *words), "a").withColumn("mine", mine).drop("a_sketch", "a_below")
+    both = half.join(side(packed, "b", *words), "b")
+    apart = F.aggregate(F.zip_with("mine", yours, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
     close = stored(both.where(fits).select("a", "b"), "close", release=True)
     wanted = stored(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "close")
     sets = only(texts, wanted, "left_semi").mapInArrow(_items(n_words), "doc_id bigint, items array<bigint>")
