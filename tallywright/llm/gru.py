@@ -61,6 +61,22 @@ class _Laid:
         return np.where(live, text, -1), np.where(live, self.symbols[at], 0), np.where(fresh, self.start, self.symbols[at - 1]), fresh
 
 
+def _bounded(logits: np.ndarray) -> None:
+    """Shifts rows so that no exponential overflows."""
+    if logits.size and max(logits.max(), -logits.min()) > 60:
+        logits -= logits.max(1, keepdims=True)
+
+
+def _totals(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows, by the matrix product."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the columns."""
+    return np.ones(len(x), x.dtype) @ x
+
+
 class Gru:
     """Symbols 0..words-1 are words, in blocks of `block`; then come the tail classes."""
 
@@ -78,6 +94,16 @@ class Gru:
             "bias": np.zeros(3 * hidden, f), "pick": np.zeros((hidden, len(of_class)), f), "pick_bias": np.log(of_class).astype(f),
             "word": np.zeros((words, hidden), f), "word_bias": np.log(share[:words] / of_class[self.class_of[:words]]).astype(f)}
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float64)
+
+    def take(self, weights: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            to = at + self.p[k].size
+            self.p[k] = weights[at:to].reshape(self.p[k].shape).astype(self.p[k].dtype)
+            at = to
+
     def step(self, x, fresh, h):
         """One step of all lanes; what backward needs is returned too."""
         k = self.hidden
@@ -118,31 +144,38 @@ class Gru:
 
     def outputs(self, h, y):
         """log P(class of y | h) + log P(y | class, h) for words; and what backward needs."""
+        kind = self.class_of[y]
+        # In the order of classes the rows of a block lie together.
+        order = np.argsort(kind.astype(np.int16) if len(self.p["pick_bias"]) < 1 << 15 else kind, kind="stable")
+        h, kind, y = h[order], kind[order], y[order]
         logits = h @ self.p["pick"]
         logits += self.p["pick_bias"]
-        if np.abs(logits).max(initial=0) > 60:
-            logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        kind = self.class_of[y]
+        _bounded(logits)
         row = np.arange(len(y))
-        out = (logits[row, kind] - np.log(total)).astype(np.float64)
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(self.blocks + 1))
+        got = logits[row, kind]
+        e = np.exp(logits, out=logits)
+        total = _totals(e)
+        got -= np.log(total)
+        sums = np.empty(len(y), h.dtype)
+        edge = np.searchsorted(kind, np.arange(self.blocks + 1))
         inner = []
         for b in range(self.blocks):
-            rows = order[edge[b]:edge[b + 1]]
-            if len(rows):
+            rows = slice(edge[b], edge[b + 1])
+            if edge[b] < edge[b + 1]:
                 some = slice(b * self.block, min((b + 1) * self.block, self.words))
                 inside = h[rows] @ self.p["word"][some].T
                 inside += self.p["word_bias"][some]
-                if np.abs(inside).max(initial=0) > 60:
-                    inside -= inside.max(1, keepdims=True)
-                f = np.exp(inside)
+                _bounded(inside)
                 at = y[rows] - some.start
-                out[rows] += inside[np.arange(len(rows)), at] - np.log(f.sum(1))
+                got[rows] += inside[row[:len(at)], at]
+                f = np.exp(inside, out=inside)
+                sums[rows] = _totals(f)
                 inner.append((rows, some, f, at))
-        return out, (e, total, kind, inner)
+        words = slice(0, edge[-1])
+        got[words] -= np.log(sums[words])
+        out = np.empty(len(y))
+        out[order] = got
+        return out, (order, h, kind, e, total, inner, sums)
 
     def score(self, symbols: np.ndarray, bounds: np.ndarray, start: int, most_lanes: int = 256) -> np.ndarray:
         """Natural log-likelihood of each text, a run of symbols; `start` is every text's past."""
@@ -164,7 +197,9 @@ class Gru:
             out[at] += np.bincount(which, got)
         return out
 
-    def train(self, symbols: np.ndarray, bounds: np.ndarray, start: int, epochs: int = 2, rate: float = 0.01, most_lanes: int = 64) -> None:
+    def train(self, symbols: np.ndarray, bounds: np.ndarray, start: int, epochs: int = 2, rate: float = 0.01, most_lanes: int = 64,
+              since: float = 0.0, until: float = 1.0) -> None:
+        """`since` and `until`: the shares of the whole training that lie before and up to the end of this call."""
         laid = _Laid(symbols, bounds, start, most_lanes)
         steps = laid.steps
         if not steps:
@@ -175,55 +210,106 @@ class Gru:
         for _ in range(epochs):
             h = np.zeros((laid.count, self.hidden), np.float32)
             for a in range(0, steps, WINDOW):
-                text, y, x, fresh = laid.window(a, min(a + WINDOW, steps), laid.count)
+                h = h[:int((laid.used > a).sum())]  # the first lanes; the others have ended
+                text, y, x, fresh = laid.window(a, min(a + WINDOW, steps), len(h))
                 grads, h = self.gradients(x, y, fresh, text >= 0, h)
                 n += 1
-                pace = rate * min(1.0, 2.0 * (1 - n / (total + 1)))
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                pace = rate * min(1.0, 2.0 * (1 - since - (until - since) * n / (total + 1)))
+                norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+                shrink = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
                 for k, g in grads.items():
-                    g = g * min(1.0, 1.0 / max(norm, 1e-9))
                     m, v = first_moment[k], second_moment[k]
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    self.p[k] -= (pace * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+                    g = g * shrink
+                    m *= np.float32(0.9)
+                    m += np.float32(0.1) * g
+                    g *= g
+                    g *= np.float32(0.01)
+                    v *= np.float32(0.99)
+                    v += g
+                    # m / (1 - 0.9^n) over sqrt(v / (1 - 0.99^n)) + 1e-8
+                    np.sqrt(v, out=g)
+                    g *= np.float32(1 / np.sqrt(1 - 0.99**n))
+                    g += np.float32(1e-8)
+                    np.divide(m, g, out=g)
+                    g *= np.float32(pace / (1 - 0.9**n))
+                    self.p[k] -= g
 
     def gradients(self, x, y, fresh, live, h):
         """Of the mean negative log-likelihood of a window, the state before it being given."""
-        k, kept, states = self.hidden, [], []
+        k, over = self.hidden, self.p["over"]
+        kind = np.result_type(over, h)
+        shape = (*x.shape, k)
+        before, states, z, r, c, past = (np.empty(shape, kind) for _ in range(6))
+        into = self.p["into"] + self.p["bias"]
+        two, last = np.ascontiguousarray(over[:, :2 * k]) / 2, np.ascontiguousarray(over[:, 2 * k:])
+        into[:, :2 * k] /= 2
         for i in range(len(x)):
-            h, back = self.step(x[i], fresh[i], h)
-            kept.append(back)
-            states.append(h)
-        states = np.stack(states)
+            if fresh[i].any():
+                h = np.where(fresh[i][:, None], kind.type(0), h)
+            before[i] = h
+            a = into[x[i]]
+            # A logistic gate is half a hyperbolic tangent of half its input.
+            gates = h @ two
+            gates += a[:, :2 * k]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates /= 2
+            z[i], r[i] = gates[:, :k], gates[:, k:]
+            np.matmul(h, last, out=past[i])
+            np.multiply(r[i], past[i], out=c[i])
+            c[i] += a[:, 2 * k:]
+            np.tanh(c[i], out=c[i])
+            h = h - c[i]
+            h *= z[i]
+            h += c[i]
+            states[i] = h
         flat = states[live]
         n = max(1, len(flat))
-        _, (share, total, kind, inner) = self.outputs(flat, y[live])
-        share /= total[:, None]
+        _, (order, flat, of, share, total, inner, sums) = self.outputs(flat, y[live])
         g = {name: np.zeros_like(v) for name, v in self.p.items()}
-        share[np.arange(len(flat)), kind] -= 1
-        share /= n
-        g["pick"], g["pick_bias"] = flat.T @ share, share.sum(0)
-        d_flat = share @ self.p["pick"].T
+        share *= (1 / (total * n))[:, None]
+        share[np.arange(len(of)), of] -= kind.type(1 / n)
+        g["pick"], g["pick_bias"] = flat.T @ share, _sums(share)
+        d_sorted = share @ self.p["pick"].T
         for rows, some, f, at in inner:
-            f /= f.sum(1, keepdims=True)
-            f[np.arange(len(rows)), at] -= 1
-            f /= n
-            g["word"][some] += f.T @ flat[rows]
-            g["word_bias"][some] += f.sum(0)
-            d_flat[rows] += f @ self.p["word"][some]
-        d_states = np.zeros_like(states)
+            f *= (1 / (sums[rows] * n))[:, None]
+            f[np.arange(len(at)), at] -= kind.type(1 / n)
+            g["word"][some] = f.T @ flat[rows]
+            g["word_bias"][some] = _sums(f)
+            d_sorted[rows] += f @ self.p["word"][some]
+        d_flat = np.empty_like(d_sorted)
+        d_flat[order] = d_sorted
+        d_states = np.zeros(shape, kind)
         d_states[live] = d_flat
-        d_h = np.zeros_like(h)
+        # What a step's gradient is multiplied by does not depend on later steps.
+        to_z = (before - c) * z
+        to_z *= 1 - z
+        to_c = (1 - z) * (1 - c * c)
+        to_r = past * r
+        to_r *= 1 - r
+        d_a, d_u = np.empty((*x.shape, 3 * k), kind), np.empty((*x.shape, 3 * k), kind)
+        back = np.ascontiguousarray(over.T)
+        d_h = None
         for i in range(len(x) - 1, -1, -1):
-            xi, new, before, u, z, r, c = kept[i]
-            d_h = d_h + d_states[i]
-            d_c = d_h * (1 - z) * (1 - c * c)
-            d_z = d_h * (before - c) * z * (1 - z)
-            d_r = d_c * u[:, 2 * k:] * r * (1 - r)
-            d_a = np.concatenate([d_z, d_r, d_c], 1)
-            d_u = np.concatenate([d_z, d_r, d_c * r], 1)
-            np.add.at(g["into"], xi, d_a)
-            g["bias"] += d_a.sum(0)
-            g["over"] += before.T @ d_u
-            d_h = np.where(new[:, None], np.float32(0), d_h * z + d_u @ self.p["over"].T)
+            d = d_states[i]
+            if d_h is not None:
+                d += d_h
+            d_c = d * to_c[i]
+            np.multiply(d, to_z[i], out=d_u[i, :, :k])
+            np.multiply(d_c, to_r[i], out=d_u[i, :, k:2 * k])
+            np.multiply(d_c, r[i], out=d_u[i, :, 2 * k:])
+            d_a[i, :, 2 * k:] = d_c
+            d_h = d_u[i] @ back
+            d *= z[i]
+            d_h += d
+            if fresh[i].any():
+                d_h[fresh[i]] = 0
+        d_a[..., :2 * k] = d_u[..., :2 * k]
+        d_a, d_u = d_a.reshape(-1, 3 * k), d_u.reshape(-1, 3 * k)
+        g["over"], g["bias"] = before.reshape(-1, k).T @ d_u, _sums(d_a)
+        met = x.ravel().astype(np.int16 if len(g["into"]) < 1 << 15 else np.int64)
+        order = np.argsort(met, kind="stable")
+        met = met[order]
+        edge = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        g["into"][met[edge]] = np.add.reduceat(np.take(d_a, order, 0), edge, 0)
         return g, h

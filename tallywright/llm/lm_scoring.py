@@ -4,9 +4,15 @@ Counts of every token of the training documents are gathered by one aggregation
 The `head`, the commonest words up to a fixed number, travels to all tasks; words beyond it are
 looked up by a join on their hash, so nothing that grows with the vocabulary is broadcast.
 
-The model (see `gru`) is fitted on a bounded sample of training documents. It gives the next
-token's class and, for the commonest words, the word; a word of a tail class (by a hash of its
-last bytes) has the add-one share of its count among the class's words. Scores are log10.
+The model (see `gru`) learns from every training document. Documents are dealt by a hash of id and
+text into parts of a few million tokens, and the parts into rounds. A round's parts are learned
+side by side, each from the weights of the round before, and the round's weights are the mean of
+the parts', by their tokens. So the weights do not depend on how the rows are partitioned, a task
+holds one part, and what comes to the driver is the weights, once a round.
+
+The model gives the next token's class and, for the commonest words, the word; a word of a tail
+class (by a hash of its last bytes) has the add-one share of its count among the class's words.
+Scores are log10.
 
 Defined cases: null and empty texts are the end token alone; repeated rows are scored each;
 without training documents all counts are 0 and the model is its uniform start; an empty table
@@ -15,6 +21,7 @@ gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +38,12 @@ END = np.uint64(0x454E44)  # the end token's place among word hashes
 HEAD_WORDS = 1 << 18
 MERGE_ROWS = 400_000
 SCORED_TOKENS = 3_000_000
+PART_TOKENS = 4_000_000
+ROUNDS = 4
+#: Tasks of a round; one takes several parts in turn where there are more.
+PART_TASKS = 1024
+SLOT_WEIGHTS = 8192
+LANES = 256
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,10 +103,21 @@ class Model:
     tail_sizes: np.ndarray  # per tail class: counts + distinct words + 1
     gru: Gru
     end: int
+    learned: int = 0  # tokens the weights learned from
+
+    def finder(self) -> np.ndarray:
+        """Where the head words of each value of a hash's leading bits begin."""
+        return np.searchsorted(self.head, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46))
 
-    def symbols(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def symbols(self, h: np.ndarray, tail: np.ndarray, finder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of tokens, and their counts (-1: beyond the head)."""
-        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
+        last = len(self.head) - 1
+        at = np.minimum(finder[h >> np.uint64(46)], last)
+        short = np.flatnonzero(self.head[at] < h)
+        while len(short):
+            short = short[at[short] < last]
+            at[short] += 1
+            short = short[self.head[at[short]] < h[short]]
         known = self.head[at] == h
         symbol = np.where(known, self.head_symbols[at], -1)
         return np.where(symbol >= 0, symbol, self.gru.words + tail), np.where(known, self.head_counts[at], -1)
@@ -101,17 +125,97 @@ class Model:
 
 def _sampled(shared):
     def run(batches):
+        finder = shared.value.finder()
+        for batch in batches:
+            for rows, data, bounds in X.slices(batch, "text"):
+                h, tail, at = tokens(data, bounds)
+                yield pa.RecordBatch.from_arrays([X.ragged(shared.value.symbols(h, tail, finder)[0].astype(np.int32), at)], names=["symbols"])
+
+    return run
+
+
+def _width(gru: Gru) -> type:
+    return np.int16 if len(gru.class_of) < 1 << 15 else np.int32
+
+
+def _encoded(shared):
+    """mark, text -> mark, symbols: the tokens' symbols as bytes."""
+
+    def run(batches):
+        m, finder = shared.value, shared.value.finder()
+        kind = _width(m.gru)
         for batch in batches:
             for rows, data, bounds in X.slices(batch, "text"):
                 h, tail, at = tokens(data, bounds)
-                yield pa.RecordBatch.from_arrays([X.ragged(shared.value.symbols(h, tail)[0].astype(np.int32), at)], names=["symbols"])
+                symbol = m.symbols(h, tail, finder)[0].astype(kind)
+                ends = pa.py_buffer((at * symbol.itemsize).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends, pa.py_buffer(symbol)])], names=["mark", "symbols"])
 
     return run
 
 
-def fit(train: DataFrame, counts: DataFrame, words: int = 2048, block: int = 64, hidden: int = 24, sample_docs: int = 1200, epochs: int = 2) -> Model:
-    """The head, the tail classes and the model, fitted on at most `sample_docs` training documents
-    chosen by a hash of id and text; repeated rows are drawn once."""
+def _learned(shared, end: int, since: float, until: float):
+    """part, symbols in the order of parts -> the sum over the parts of tokens x weights, in slots."""
+
+    def learn(texts: list[bytes]) -> tuple[int, np.ndarray]:
+        gru = copy.deepcopy(shared.value)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]) // np.dtype(_width(gru)).itemsize
+        symbols = np.frombuffer(b"".join(texts), _width(gru)).astype(np.int64)
+        # No more lanes than keep about as long as the longest text: a few lanes alone step at the same price.
+        lanes = len(symbols) // max(int(np.diff(bounds).max()), 4096)
+        gru.train(symbols, bounds, end, 1, most_lanes=min(LANES, max(16, lanes)), since=since, until=until)
+        return len(symbols), len(symbols) * gru.weights()
+
+    def run(batches):
+        part, texts, total, sums = None, [], 0, 0.0
+        for batch in batches:
+            for p, symbols in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != part and texts:
+                    n, weights = learn(texts)
+                    total, sums, texts = total + n, sums + weights, []
+                part = p
+                texts.append(symbols)
+        if texts:
+            n, weights = learn(texts)
+            total, sums = total + n, sums + weights
+        if total:
+            slots = [sums[i:i + SLOT_WEIGHTS].tobytes() for i in range(0, len(sums), SLOT_WEIGHTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(slots), dtype=np.int32)), pa.array(np.full(len(slots), total)), pa.array(slots, pa.binary())],
+                                             names=["slot", "tokens", "weights"])
+
+    return run
+
+
+def _mean(rows: pa.Table) -> pa.Table:
+    total = sum(rows.column("tokens").to_pylist())
+    # In one order, whichever task came first.
+    sums = sum(np.frombuffer(w, np.float64) for w in sorted(rows.column("weights").to_pylist()))
+    return pa.table({"slot": rows.column("slot").slice(0, 1), "tokens": pa.array([total]), "weights": pa.array([(sums / total).tobytes()], pa.binary())})
+
+
+def learn(train: DataFrame, model: Model) -> None:
+    """The weights of the model, after each training document once."""
+    context = train.sparkSession.sparkContext
+    parts = max(1, round(model.total / PART_TOKENS))
+    rounds = min(ROUNDS, parts)
+    rows = train.select(F.xxhash64("doc_id", "text").alias("mark"), "text").mapInArrow(_encoded(context.broadcast(model)), "mark bigint, symbols binary")
+    rows = stored(rows.withColumn("part", F.pmod("mark", F.lit(parts)).cast("int")), "training-symbols")
+    schema = "slot int, tokens bigint, weights binary"
+    for r in range(rounds):
+        tasks = min(-(-(parts - r) // rounds), PART_TASKS)
+        dealt = rows.where(F.col("part") % rounds == r).repartitionById(tasks, (F.floor(F.col("part") / rounds) % tasks).cast("int"))
+        run = _learned(context.broadcast(model.gru), model.end, r / rounds, (r + 1) / rounds)
+        sums = dealt.sortWithinPartitions("part", "mark").select("part", "symbols").mapInArrow(run, schema)
+        got = sorted(sums.groupBy("slot").applyInArrow(_mean, schema).collect())
+        if got:
+            model.learned += got[0]["tokens"]
+            model.gru.take(np.concatenate([np.frombuffer(g["weights"], np.float64) for g in got]))
+
+
+def fit(train: DataFrame, counts: DataFrame, words: int = 2048, block: int = 64, hidden: int = 24, sample_docs: int = 0, epochs: int = 2) -> Model:
+    """The head, the tail classes and the model, which learns from every training document. Ahead of
+    that it may be started, in `epochs` on the driver, on at most `sample_docs` of them chosen by a
+    hash of id and text (repeated rows are drawn once)."""
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"] or 0, size["v"]
     # The least count of a head word: counts by sixteenths of a power of two, commonest first.
@@ -139,6 +243,14 @@ def fit(train: DataFrame, counts: DataFrame, words: int = 2048, block: int = 64,
     gru = Gru(np.concatenate([n[first], mass[:, 0]]).astype(float), len(first), block, hidden)
     order = np.argsort(h, kind="stable")
     model = Model(total, distinct, h[order], n[order], symbol[order], least, mass.sum(1) + 1, gru, 0)
+    if sample_docs:
+        _start(train, model, sample_docs, epochs)
+    if total:
+        learn(train, model)
+    return model
+
+
+def _start(train: DataFrame, model: Model, sample_docs: int, epochs: int) -> None:
     shared = train.sparkSession.sparkContext.broadcast(model)
     texts = max(1, model.head_counts[model.head == END][0])
     named = train.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -147,15 +259,14 @@ def fit(train: DataFrame, counts: DataFrame, words: int = 2048, block: int = 64,
     rows = sorted((r["symbols"] for r in rows), key=lambda s: (len(s), s))
     if rows:
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        gru.train(np.concatenate([np.array(r, np.int64) for r in rows]), bounds, model.end, epochs)
-    return model
+        model.gru.train(np.concatenate([np.array(r, np.int64) for r in rows]), bounds, model.end, epochs)
 
 
 def _scored(shared):
     names = ["doc_id", "n_tokens", "known", "base", "model", "beyond"]
 
     def run(batches):
-        m = shared.value
+        m, finder = shared.value, shared.value.finder()
         tail_log = np.log10(m.tail_sizes)
         whole = np.log10(m.total + m.distinct + 1)
         held: list[tuple] = []
@@ -172,7 +283,7 @@ def _scored(shared):
         for batch in batches:
             for rows, data, bounds in X.slices(batch, "text"):
                 h, tail, at = tokens(data, bounds)
-                symbol, n = m.symbols(h, tail)
+                symbol, n = m.symbols(h, tail, finder)
                 beyond = n < 0
                 share = np.where(beyond, 0.0, np.log10(np.maximum(n, 0) + 1.0))
                 rare = symbol >= m.gru.words

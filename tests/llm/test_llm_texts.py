@@ -314,6 +314,22 @@ def test_scores(spark, sf_dir, documents):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_the_model_learns_from_every_training_document(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 2000, raising=False)  # several parts and rounds
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d "), F.col("id") % 50).alias("text"))
+    point = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    # The counts don't tell the two tables apart, nor would a sample: a document far from its beginning.
+    turned = docs.withColumn("text", F.concat(F.lit("d c b a "), F.col("doc_id") % 50))
+    late = docs.where(point > 0.95).join(turned.where(point > 0.95).select("doc_id"), "doc_id").agg(F.min("doc_id")).first()[0]
+    other = docs.where(F.col("doc_id") != late).union(turned.where(F.col("doc_id") == late))
+    counts = lm_scoring.count_tokens(docs)
+    fitted = [lm_scoring.fit(d, counts, words=8, block=4, hidden=4) for d in (docs, docs.repartition(3, "text"), other)]
+    assert all(m.learned == m.total == 9000 for m in fitted)
+    one, same, apart = (m.gru.p for m in fitted)
+    assert all(np.abs(one[k] - same[k]).max() < 1e-6 for k in one)
+    assert any(np.abs(one[k] - apart[k]).max() > 1e-5 for k in one)
+
+
 def test_scores_beyond_the_head_and_awkward(spark, awkward, nothing, monkeypatch):
     named = awkward.where("doc_id is not null")
     for head in (1 << 18, 4):
