@@ -8,7 +8,9 @@ number of parts exceeds that bound by `slack` and one. By the pigeonhole more th
 then have the same shingles: (band, part, XOR of the part's shingle hashes) is the join key. Empty
 parts are equal between strangers too, so a set with at most `slack` of them gives no keys for
 them: with any linked set it still shares a part that is not empty. Candidates are held against
-the Hamming bound on their sketches, and what is left against the sets themselves.
+the Hamming bound on their sketches, and what is left against the sets themselves. For that the
+words of every `FOLD` parts are XORed into one: that can only lower a distance, so the bound holds,
+and there are still about eight bits to each shingle that linked sets may differ by.
 
 Equal sets are one class with one representative before the join. In a key's group every member
 is paired with the least one only. Where members of a group are in different components
@@ -37,6 +39,8 @@ from tallywright.llm.store import stored
 #: Members of a group whose strays are paired in the plan; larger groups go block by block.
 SMALL_GROUP = 32
 BLOCK_ROWS = 2048
+#: Parts of a layout whose words become one word of the sketch that candidates carry.
+FOLD = 8
 #: Lists of ids up to this many rows (of 8 bytes) are broadcast; longer ones are shuffled.
 BROADCAST_IDS = 1 << 20
 
@@ -104,6 +108,14 @@ def sketch(h: np.ndarray, bounds: np.ndarray, parts: np.ndarray) -> tuple[np.nda
     return folded(np.uint64(1) << (mixed & np.uint64(63))), folded(X.mix(mixed ^ np.uint64(0x5157))), np.diff(edge), at
 
 
+def folded(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The XOR of every FOLD words of each row (the last ones of a row may be fewer), and the rows' bounds."""
+    size = -(-np.diff(bounds) // FOLD)
+    at = np.concatenate([[0], np.cumsum(size)])
+    starts = np.repeat(bounds[:-1], size) + FOLD * (np.arange(at[-1]) - np.repeat(at[:-1], size))
+    return (np.bitwise_xor.reduceat(words, starts) if len(starts) else words[:0]), at
+
+
 def _sets(n_words: int):
     def run(batches):
         for batch in batches:
@@ -158,7 +170,7 @@ def _items(n_words: int):
 
 
 def _packed(n_words: int, percent: int):
-    """doc_id, text -> the size of the set and its two sketches (own band, band below)."""
+    """doc_id, text -> the size of the set and its two sketches, folded (own band, band below)."""
     low = bands(percent)
 
     def run(batches):
@@ -169,9 +181,10 @@ def _packed(n_words: int, percent: int):
                 own = np.searchsorted(low, size, "right") - 1
                 columns = [rows.column(0), pa.array(own), pa.array(size)]
                 for shift in (0, 1):
-                    words, marks, _, wat = sketch(h, at, np.where(size > 0, parts_of(low, np.maximum(own - shift, 0), percent), 0))
-                    columns += [X.ragged(words.view(np.int64), wat), X.ragged(marks.view(np.int64), wat)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "n", "sketch", "marks", "below", "below_marks"])
+                    words, _, _, wat = sketch(h, at, np.where(size > 0, parts_of(low, np.maximum(own - shift, 0), percent), 0))
+                    words, wat = folded(words, wat)
+                    columns.append(X.ragged(words.view(np.int64), wat))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "n", "sketch", "below"])
 
     return run
 
@@ -185,7 +198,7 @@ def only(docs: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataF
 
 def _linked(pairs: DataFrame, packed: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) that pass the Hamming bound and then the exact comparison. Sketches,
-    a tenth of the sets' size, go to the pairs first; sets are made anew from the texts, and only of
+    a small part of the sets' size, go to the pairs first; sets are made anew from the texts, and only of
     documents in the pairs that are left."""
 
     def side(df, name, *columns):
@@ -235,7 +248,7 @@ def links(docs: DataFrame, n_words: int = 3, percent: int = 90) -> tuple[DataFra
     if not member.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id"])
     packed = stored(texts.mapInArrow(
-        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, sketch array<bigint>, marks array<bigint>, below array<bigint>, below_marks array<bigint>"), "sketches", release=True)
+        _packed(n_words, percent), "doc_id bigint, band bigint, n bigint, sketch array<bigint>, below array<bigint>"), "sketches", release=True)
     found = stored(_linked(pairs, packed, texts, n_words, percent), "links", release=True)
     return member, *_resolve(met, pairs, found, packed, texts, n_words, percent)
 
@@ -246,32 +259,34 @@ def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _compared(percent: int):
     """Strays against members of one group: the pairs within the Hamming bound. A pair is looked
-    at in the first part that is equal, and, if both sets are of one band, in that band's layout."""
+    at in the first of the large groups that both are in by the layouts they meet in here, and, if
+    both sets are of one band, in that band's layout."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b = [], []
         if left.num_rows and right.num_rows:
+            here = key[0].as_py()
             words = _matrix(right.column("words"))
             width = min(map(len, words))
-            alike = np.array([len(w) == width for w in words])
+            alike = np.flatnonzero([len(w) == width for w in words])
             held = {c: right.column(c).to_numpy()[alike] for c in ("doc_id", "root", "n", "below", "stray", "pivot")}
-            member, marks = (np.stack([w for w, ok in zip(x, alike, strict=True) if ok]) for x in (words, _matrix(right.column("marks"))))
-            mine = zip(*(left.column(c).to_pylist() for c in ("doc_id", "root", "n", "below", "place", "pivot")), _matrix(left.column("words")), _matrix(left.column("marks")), strict=True)
-            for doc, root, n, below, place, pivot, own, own_marks in mine:
+            member, met = np.stack([words[i] for i in alike]), right.column("keys").take(pa.array(alike))
+            mine = zip(*(left.column(c).to_pylist() for c in ("doc_id", "root", "n", "below", "pivot")), _matrix(left.column("words")), left.column("keys"), strict=True)
+            for doc, root, n, below, pivot, own, keys in mine:
                 if doc == pivot or len(own) != width:
                     continue
                 # Of two strays the one with the greater id looks at the other.
                 use = np.flatnonzero((held["root"] != root) & (held["doc_id"] != held["pivot"]) & ~(held["below"] & below)
                                      & (~held["stray"] | (held["doc_id"] < doc)))
-                # The pair also meets in its other equal parts; the first that is not empty will do.
-                equal = (marks[use] == own_marks) & (own_marks != 0)
-                use = use[~equal.any(1) | (equal.argmax(1) == place)]
-                apart = member[use] ^ own
-                near = np.bitwise_count(apart).sum(1, dtype=np.int64) * (100 + percent) <= (held["n"][use] + n) * (100 - percent)
-                other = held["doc_id"][use[near]]
-                a.append(np.minimum(other, doc))
-                b.append(np.maximum(other, doc))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+                apart = np.bitwise_count(member[use] ^ own).sum(1, dtype=np.int64)
+                use = use[apart * (100 + percent) <= (held["n"][use] + n) * (100 - percent)]
+                keys = set(keys.as_py()) if len(use) else ()
+                for i in use.tolist():
+                    if here == min(keys.intersection(met[i].as_py())):
+                        other = int(held["doc_id"][i])
+                        a.append(min(other, doc))
+                        b.append(max(other, doc))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -292,14 +307,15 @@ def _resolve(met: DataFrame, done: DataFrame, found: DataFrame, packed: DataFram
     pairs = small.join(other, "key").where("root <> x_root and doc_id <> pivot and x <> pivot and (not stray or doc_id < x)")
     pairs = pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
 
-    large = rows.where(F.col("members") > SMALL_GROUP).join(packed.select("doc_id", "n", "sketch", "marks", F.col("below").alias("lower"), "below_marks"), "doc_id")
+    large = rows.where(F.col("members") > SMALL_GROUP).withColumn("below", F.col("seat") % 2 == 1)
+    keys = large.groupBy("doc_id", "below").agg(F.collect_list("key").alias("keys"))
+    sketches = packed.select("doc_id", "n", "sketch", F.col("below").alias("lower"))
+    large = large.join(keys.join(sketches, "doc_id"), ["doc_id", "below"])
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    below = F.col("seat") % 2 == 1
-    large = large.select("key", "doc_id", "root", "n", below.alias("below"), F.floor(F.col("seat") / 2).cast("int").alias("place"),
-                         "pivot", "stray", "members", "strays", F.when(below, F.col("lower")).otherwise(F.col("sketch")).alias("words"),
-                         F.when(below, F.col("below_marks")).otherwise(F.col("marks")).alias("marks"))
+    large = large.select("key", "doc_id", "root", "n", "below", "pivot", "stray", "members", "strays",
+                         F.when(F.col("below"), F.col("lower")).otherwise(F.col("sketch")).alias("words"), "keys")
     left = large.where("stray").withColumn("x", own("strays")).withColumn("y", every("members")).drop("members", "strays")
     right = large.withColumn("y", own("members")).withColumn("x", every("strays")).drop("members", "strays")
     right = right.toDF(*right.columns)  # apart from the left side's columns

@@ -4,6 +4,7 @@ import os
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,40 @@ def test_hamming_distance_is_a_lower_bound():
     assert np.bitwise_count(words[at[0]:at[1]] ^ words[at[1]:at[2]]).sum() <= 35
 
 
+def test_candidates_carry_folded_sketches():
+    rng = np.random.default_rng(1)
+    for near in (600, 60, 10, 1):
+        a = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[near // 2:], rng.integers(0, 1 << 63, near // 2, dtype=np.uint64)]))
+        words, _, _, at = parity_join.sketch(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.array([121, 121]))
+        small, bounds = parity_join.folded(words, at)
+        assert bounds.tolist() == [0, 16, 32]
+        assert np.bitwise_count(small[:16] ^ small[16:]).sum() <= len(np.setxor1d(a, b))
+        assert np.bitwise_xor.reduce(small[:16]) == np.bitwise_xor.reduce(words[:121])
+    empty, bounds = parity_join.folded(words[:17], np.array([0, 0, 17, 17]))
+    assert len(empty) == 3 and bounds.tolist() == [0, 0, 3, 3]
+    text = " ".join(map(str, range(400)))
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    (packed,) = parity_join._packed(5, 80)(iter([rows]))
+    size = np.array([396])
+    low = parity_join.bands(80)
+    parts = parity_join.parts_of(low, np.searchsorted(low, size, "right") - 1, 80)[0]
+    assert packed.schema.names == ["doc_id", "band", "n", "sketch", "below"] and len(packed.column("sketch")[0]) == -(-parts // 8)
+
+
+def test_a_pair_is_looked_at_in_its_first_large_group_only():
+    def rows(keys):
+        return pa.table({"doc_id": [5, 6, 7], "root": [5, 6, 7], "n": [50, 50, 50], "below": [False] * 3, "stray": [True, True, False], "pivot": [1, 1, 1],
+                         "words": pa.array([[1, 2], [1, 3], [1, 2]], pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    keys = [[9, 4], [4, 9], [9]]
+    run = parity_join._compared(80)
+    for here, want in ((4, [(5, 6)]), (9, [(5, 7), (6, 7)])):
+        there = rows(keys) if here == 9 else rows(keys).slice(0, 2)
+        got = run((pa.scalar(here), pa.scalar(0), pa.scalar(0)), there.filter(there.column("stray")), there)
+        assert sorted(zip(*got.to_pydict().values(), strict=True)) == want
+
+
 # -- language-model scoring
 
 def test_gru_gradients_and_scores():
