@@ -49,7 +49,7 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the language its text is predicted to be in; `und` goes."""
-    small_batches(spark)
+    small_batches(spark, 250)
     crf = language.fit(docs.where(fold(3) != 1))
     named = language.predict(docs, crf, docs.columns, ("__lang", "__score")).where(F.col("__lang") != language.UNKNOWN)
     return named.withColumn("lang", F.col("__lang")).select(docs.columns)
@@ -57,7 +57,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines are cut; a document left without text goes."""
-    small_batches(spark)
+    small_batches(spark, 250)
     left = line_dedup.dedup(docs, removed="__removed").where((F.col("__removed") == 0) | F.col("text").rlike("\\S"))
     return left.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
 
@@ -65,7 +65,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by sets of five-word shingles, at 0.8 or more, the least id stays (a row
     without an id only where no row has one)."""
-    small_batches(spark)
+    small_batches(spark, 250)
     rows = _rows(docs)
     grouped = stored(parity_join.classes(_by_row(rows), n_words=5, percent=80).select(F.col("doc_id").alias(ROW), "component_id"), "near-duplicates")
     # A component's id is its least row: with another row in it there is something to decide.
@@ -77,7 +77,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that passages of the benchmark contaminate go."""
-    small_batches(spark)
+    small_batches(spark, 250)
     rows = _rows(docs)
     found = positional_index.decontaminate(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
@@ -85,7 +85,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, and their places in the sequences."""
-    small_batches(spark)
+    small_batches(spark, 250)
     packed = packing.pack(docs, tokenizer(), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

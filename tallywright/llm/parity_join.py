@@ -39,6 +39,8 @@ from tallywright.llm.store import stored
 #: Members of a group whose strays are paired in the plan; larger groups go block by block.
 SMALL_GROUP = 32
 BLOCK_ROWS = 2048
+#: Bytes of text worked on at a time: more are no faster and only take memory.
+SLICE_BYTES = 1 << 17
 #: Parts of a layout whose words become one word of the sketch that candidates carry.
 FOLD = 8
 #: Lists of ids up to this many rows (of 8 bytes) are broadcast; longer ones are shuffled.
@@ -119,7 +121,7 @@ def folded(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _sets(n_words: int):
     def run(batches):
         for batch in batches:
-            for rows, data, bounds in X.slices(batch, "text", 1 << 19):
+            for rows, data, bounds in X.slices(batch, "text", SLICE_BYTES):
                 h, at = shingle_sets(data, bounds, n_words)
                 total = np.concatenate([[np.uint64(0)], np.cumsum(X.mix(h), dtype=np.uint64)])
                 other = np.concatenate([[np.uint64(0)], np.cumsum(X.mix(h ^ np.uint64(0xABCD)), dtype=np.uint64)])
@@ -137,7 +139,7 @@ def _keys(n_words: int, percent: int):
 
     def run(batches):
         for batch in batches:
-            for rows, data, bounds in X.slices(batch, "text", 1 << 19):
+            for rows, data, bounds in X.slices(batch, "text", SLICE_BYTES):
                 h, at = shingle_sets(data, bounds, n_words)
                 size = np.diff(at)
                 own = np.searchsorted(low, size, "right") - 1
@@ -162,7 +164,7 @@ def _items(n_words: int):
 
     def run(batches):
         for batch in batches:
-            for rows, data, bounds in X.slices(batch, "text", 1 << 19):
+            for rows, data, bounds in X.slices(batch, "text", SLICE_BYTES):
                 h, at = shingle_sets(data, bounds, n_words)
                 yield pa.RecordBatch.from_arrays([rows.column(0), X.ragged(h.view(np.int64), at)], names=["doc_id", "items"])
 
@@ -175,7 +177,7 @@ def _packed(n_words: int, percent: int):
 
     def run(batches):
         for batch in batches:
-            for rows, data, bounds in X.slices(batch, "text", 1 << 19):
+            for rows, data, bounds in X.slices(batch, "text", SLICE_BYTES):
                 h, at = shingle_sets(data, bounds, n_words)
                 size = np.diff(at)
                 own = np.searchsorted(low, size, "right") - 1
