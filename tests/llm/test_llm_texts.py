@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from tallywright.llm import (  # noqa: E402
-    compression, gru, language, line_dedup, lm_scoring, parity_join, positional_index, queries, severity)
+    compression, gru, language, line_dedup, lm_scoring, parity_join, positional_index, queries, severity, store)
 
 LINE = "one two three four five six seven eight nine ten eleven twelve thirteen"
 AWKWARD = [
@@ -251,6 +251,18 @@ def test_a_pair_is_looked_at_in_its_first_large_group_only():
         assert sorted(zip(*got.to_pydict().values(), strict=True)) == want
 
 
+def test_batches_of_long_rows_are_bounded_in_bytes(spark):
+    store.small_batches(spark)
+    long = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    got = [r["n"] for r in long.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) == 40 and max(got) <= 5
+
+
 # -- language-model scoring
 
 def test_gru_gradients_and_scores():
