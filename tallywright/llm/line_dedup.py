@@ -132,7 +132,8 @@ def _cut(texts, spans):
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "lines_removed") -> DataFrame:
     """`docs` with the text of later repeated runs cut, and how many lines went (`removed`)."""
     spans = repeats(marks(docs, min_words)).distinct().groupBy("doc_key").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    cut = F.pandas_udf(_cut, "string")
+    # A filter on what was cut, pushed below it, would have every text cut twice, by twice the Python workers.
+    cut = F.pandas_udf(_cut, "string").asNondeterministic()
     keyed = docs.withColumn("__key", _key())
     joined = keyed.join(spans.withColumnRenamed("doc_key", "__other").hint("shuffle_hash"), F.col("__key") == F.col("__other"), "left")
     hit = F.col("__spans").isNotNull()

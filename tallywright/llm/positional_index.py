@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallywright import session
 from tallywright.llm import text as X
+from tallywright.llm.store import stored
 
 WINDOW = 13
 #: Phrases broadcast at once; more are searched block by block over the stored index.
@@ -235,7 +236,8 @@ def _blocks(phrases: DataFrame, block: int):
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, spans (disjoint word ranges inside phrases), items of every document."""
     spark = docs.sparkSession
-    phrases = session.cut(item_phrases(items, window))
+    # Written, not checkpointed: a checkpoint's job gets Python workers of its own, which then stay beside the others.
+    phrases = stored(item_phrases(items, window), "phrases")
     vocabulary = phrases.select(F.explode("terms").alias("term")).distinct()
     # Beyond a bounded vocabulary the index keeps every term.
     known = np.unique(np.array([r["term"] for r in vocabulary.collect()], np.int64).view(np.uint64)) if vocabulary.count() <= 1 << 22 else None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
+from tallywright import session  # noqa: E402
 from tallywright.llm import (  # noqa: E402
     compression, gru, language, line_dedup, lm_scoring, parity_join, positional_index, queries, severity, store)
 
@@ -263,6 +264,24 @@ def test_batches_of_long_rows_are_bounded_in_bytes(spark):
     assert sum(got) == 40 and max(got) <= 5
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_cut_once_below_a_filter(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert plan_of(corpus_pipeline.line_deduplication(spark, docs, sf_dir)).count("ArrowEvalPython") == 1
+
+
+def test_no_python_under_a_checkpoint_of_the_index(awkward, spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(session, "cut", lambda df, cut=session.cut: plans.append(plan_of(df)) or cut(df))
+    positional_index.matches(awkward, spark.createDataFrame([(1, LINE)], "item_id bigint, text string")).collect()
+    assert plans and not any("InArrow" in p for p in plans)
+
+
 # -- language-model scoring
 
 def test_gru_gradients_and_scores():
