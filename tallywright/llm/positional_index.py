@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tallywright import session
 from tallywright.llm import text as X
-from tallywright.llm.store import stored
 
 WINDOW = 13
 #: Phrases broadcast at once; more are searched block by block over the stored index.
@@ -236,8 +235,7 @@ def _blocks(phrases: DataFrame, block: int):
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, spans (disjoint word ranges inside phrases), items of every document."""
     spark = docs.sparkSession
-    # Written, not checkpointed: a checkpoint's job gets Python workers of its own, which then stay beside the others.
-    phrases = stored(item_phrases(items, window), "phrases")
+    phrases = session.cut(item_phrases(items, window))
     vocabulary = phrases.select(F.explode("terms").alias("term")).distinct()
     # Beyond a bounded vocabulary the index keeps every term.
     known = np.unique(np.array([r["term"] for r in vocabulary.collect()], np.int64).view(np.uint64)) if vocabulary.count() <= 1 << 22 else None
@@ -246,7 +244,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int
     out = None
     for some, parts in _blocks(phrases, block):
         asked = np.unique(some.terms.view(np.int64)).tolist()
-        wanted = spark.createDataFrame([(t,) for t in asked], "term bigint")
+        # As an Arrow table: a list of rows is made ready by Python workers of its own, which stay beside the others.
+        wanted = spark.createDataFrame(pa.table({"term": pa.array(asked, pa.int64())}))
         counts = {r["term"]: r["n"] for r in counted.join(F.broadcast(wanted), "term").collect()} if asked else {}
         shared = spark.sparkContext.broadcast(Plan(some, counts))
         hits = index.mapInArrow(_search(shared), _HITS)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from tallywright import session  # noqa: E402
 from tallywright.llm import (  # noqa: E402
     compression, gru, language, line_dedup, lm_scoring, parity_join, positional_index, queries, severity, store)
 
@@ -275,11 +274,12 @@ def test_texts_are_cut_once_below_a_filter(spark, sf_dir):
     assert plan_of(corpus_pipeline.line_deduplication(spark, docs, sf_dir)).count("ArrowEvalPython") == 1
 
 
-def test_no_python_under_a_checkpoint_of_the_index(awkward, spark, monkeypatch):
-    plans = []
-    monkeypatch.setattr(session, "cut", lambda df, cut=session.cut: plans.append(plan_of(df)) or cut(df))
-    positional_index.matches(awkward, spark.createDataFrame([(1, LINE)], "item_id bigint, text string")).collect()
-    assert plans and not any("InArrow" in p for p in plans)
+def test_terms_go_to_spark_without_python_workers(awkward, spark, monkeypatch):
+    table = spark.createDataFrame([(1, LINE)], "item_id bigint, text string")
+    given, made = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: given.append(data) or made(self, data, *a, **b))
+    positional_index.matches(awkward, table).collect()
+    assert given and all(isinstance(d, pa.Table) for d in given)
 
 
 # -- language-model scoring
