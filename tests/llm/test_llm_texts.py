@@ -322,6 +322,79 @@ def test_gru_gradients_and_scores():
         assert abs(got - want) < 1e-3
 
 
+def test_gru_training_takes_no_new_memory_a_window():
+    """A window's arrays come from memory the process has: given back and taken again, they cost a fault for each page."""
+    import os
+    import subprocess
+    import sys
+
+    code = """if True:
+        import resource
+        import numpy as np
+        from tallywright.llm.gru import Gru
+        rng = np.random.default_rng(0)
+        bounds = np.concatenate([[0], np.cumsum(rng.integers(1, 300, 1000))])
+        symbols = (2112 * rng.random(bounds[-1]) ** 3).astype(np.int64)
+        g = Gru(np.ones(2112), 2048, 64, 24)
+        faults = [0, 0]
+        for i in range(2):
+            g.train(symbols, bounds, 0, 1, most_lanes=128)
+            faults[i] = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        print((faults[1] - faults[0]) / len(symbols))
+    """
+    env = os.environ | {"OMP_NUM_THREADS": "1", "PYTHONPATH": os.pathsep.join(filter(None, sys.path))}
+    got = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True, timeout=120)
+    assert float(got.stdout) < 0.1
+
+
+def test_gru_updates_in_pieces_and_far_logits(monkeypatch):
+    monkeypatch.setattr(gru, "PIECE", 7, raising=False)  # ends inside every parameter
+    monkeypatch.setattr(gru, "PRODUCT", 100, raising=False)
+    rng = np.random.default_rng(4)
+    bounds = np.concatenate([[0], np.cumsum([40, 3, 90, 0, 25])])
+    symbols = rng.integers(0, 30, bounds[-1])
+    one, plain = (gru.Gru(np.arange(30.0), 20, 8, 5) for _ in range(2))
+    one.train(symbols, bounds, 0, epochs=2, most_lanes=2)
+    laid = gru._Laid(symbols, bounds, 0, 2)
+    m, v = ({k: np.zeros(x.shape) for k, x in plain.p.items()} for _ in range(2))
+    starts = range(0, laid.steps, gru.WINDOW)
+    n, total = 0, 2 * len(starts)
+    for _ in range(2):
+        h = np.zeros((laid.count, 5), np.float32)
+        for a in starts:
+            h = h[:int((laid.used > a).sum())]
+            text, y, x, fresh = laid.window(a, min(a + gru.WINDOW, laid.steps), len(h))
+            grads, h = plain.gradients(x, y, fresh, text >= 0, h)
+            n += 1
+            norm = np.sqrt(sum((g.astype(float) ** 2).sum() for g in grads.values()))
+            for k, g in grads.items():
+                g = g * min(1.0, 1 / norm)
+                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
+                step = m[k] / (1 - 0.9**n) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)
+                plain.p[k] = (plain.p[k] - 0.01 * min(1.0, 2 * (1 - n / (total + 1))) * step).astype(np.float32)
+    assert all(np.abs(one.p[k] - plain.p[k]).max() < 1e-4 for k in one.p)
+    for scale in (1, 500):  # near and far: the probabilities of all symbols are 1 in sum, and the gradients follow
+        g = gru.Gru(np.arange(30.0), 20, 8, 5)
+        g.p = {k: w + rng.normal(size=w.shape) * (scale if k in ("pick", "pick_bias", "word", "word_bias") else 0.3) for k, w in g.p.items()}
+        h = np.repeat(np.tanh(rng.normal(size=(1, 5))), 30, 0)
+        logs = g.outputs(h, np.arange(30))[0]
+        assert np.isfinite(logs).all() and abs(np.exp(logs).sum() - 1) < 1e-9
+        x, y, fresh = rng.integers(0, 30, (4, 3)), rng.integers(0, 30, (4, 3)), np.zeros((4, 3), bool)
+        grads, _ = g.gradients(x, y, fresh, ~fresh, np.zeros((3, 5)))
+        for k in ("pick_bias", "word_bias", "pick", "over", "into"):
+            i = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
+            old, ends = g.p[k][i], []
+            for d in (1e-6, -1e-6):
+                g.p[k][i] = old + d
+                h, states = np.zeros((3, 5)), []
+                for a, b in zip(x, fresh, strict=True):
+                    h, _ = g.step(a, b, h)
+                    states.append(h)
+                ends.append(-g.outputs(np.concatenate(states), y.ravel())[0].mean())
+            g.p[k][i] = old
+            assert abs((ends[0] - ends[1]) / 2e-6 - grads[k][i]) < 1e-4 * max(1, abs(grads[k][i]))
+
+
 def test_samples_are_bounded_whatever_is_repeated(spark, monkeypatch):
     unique = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id")).alias("text"))
     point = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
