@@ -1,8 +1,11 @@
 import datetime
 import math
+import random
 import statistics
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +155,60 @@ def test_scores_are_those_of_a_walk_by_hand(spark):
     assert {r["prediction"] for r in found.collect()} == {-1}
 
 
+def test_training_scores_each_row_once(spark, monkeypatch):
+    n, seen, real = 3000, spark.sparkContext.accumulator(0), I._raw
+
+    def watched(features, forest):
+        @F.pandas_udf("bigint")
+        def count(values: pd.Series) -> pd.Series:
+            seen.add(len(values))
+            return values
+
+        return real(features, forest).withColumn("_raw", count("_raw"))
+
+    rows = spark.range(n).select(*[F.rand(i).alias(f"f{i}") for i in range(3)]).checkpoint()
+    monkeypatch.setattr(I, "_raw", watched)
+    made = {"trees": 20, "names": ("f0", "f1", "f2")}
+    model = I.fit(rows, **made)
+    assert seen.value == n
+    again = I.fit(rows, stored=True, **made)
+    key = ["tree", "node"]
+    assert again.nodes.orderBy(key).collect() == model.nodes.orderBy(key).collect()
+    assert again.offset == model.offset
+
+
+def test_an_exact_quantile_of_scores(spark):
+    rng = random.Random(3)
+    for values in ([-7], [-5, -5, -2], [-rng.randrange(1, 10**12) for _ in range(4000)],
+                   [-(10**11) - rng.randrange(3) for _ in range(4000)]):
+        scores = spark.createDataFrame([(v,) for v in values], "_raw bigint")
+        for p in (0.0, 0.03, 0.1, 0.5, 1.0):
+            assert math.isclose(I._quantile(scores, len(values), p), percentile_of(values, p), rel_tol=1e-15)
+
+
+def test_mean_depths_are_those_of_a_walk(spark):
+    """Trees of any shape, values at thresholds, and no value."""
+    rng = np.random.default_rng(4)
+    nodes = []
+    for tree in range(30):
+        sample = pd.DataFrame(np.round(rng.normal(size=(320, 3)), 1), columns=["a", "b", "c"])
+        nodes.append(I._grower(("a", "b", "c"), 256, 7)(sample.assign(_tree=tree, _draw=range(320))))
+    table = pd.concat(nodes).sample(frac=1, random_state=1)
+    x = np.round(rng.normal(size=(500, 3)), 1)
+    x[:250, 0] = rng.choice(table[(table.feature == 0)].threshold, 250)
+    x[::9, 1] = np.nan
+    at = {(r.tree, r.node): r for r in table.itertuples()}
+
+    def depth(tree, row):
+        node = at[tree, 0]
+        while node.feature >= 0:
+            node = at[tree, node.left if row[node.feature] <= node.threshold else node.right]
+        return node.depth
+
+    want = np.array([[depth(t, row) for t in range(30)] for row in x]).mean(axis=1)
+    assert (I._mean_depths(x, I._laid_out(table), 8) == want).all()
+
+
 def percentile_of(values, p):
     values = sorted(values)
     at = p * (len(values) - 1)
