@@ -195,9 +195,10 @@ def iforest_score_fitted(spark, sf):
 def iforest_persist(spark, sf):
     """Rows whose score by the trained forest changes when it is saved and read back: none."""
     path = scratch(spark, "forest")
-    trained = _fitted(spark, sf)
+    features = _stored_features(spark, sf)
+    trained = _fitted(spark, sf, features)
     trained.save(path)
-    once = I.score(_features(spark, sf), trained).withColumnRenamed("score", "before")
+    once = I.score(features, trained).withColumnRenamed("score", "before")
     both = I.score(once, I.load(spark, path))
     return both.agg(F.count(F.lit(1)).alias("n"),
                     F.count_if(~F.col("score").eqNullSafe(F.col("before"))).alias("changed"))
