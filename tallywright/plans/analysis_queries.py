@@ -187,7 +187,8 @@ def iforest_nodes(spark, sf):
 
 @query()
 def iforest_score_fitted(spark, sf):
-    return I.score(_features(spark, sf), _fitted(spark, sf)).select(
+    features = _stored_features(spark, sf)
+    return I.score(features, _fitted(spark, sf, features)).select(
         "source_file", "txn_date", "cents", "score")
 
 
