@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallywright.functions import vectors as H
 from tallywright.operators import anomaly as A
 from tallywright.operators import conform as C
 from tallywright.operators import features as FE
@@ -370,6 +371,24 @@ def test_retrieval(spark, monkeypatch):
     assert {r["answer"] for r in none.collect()} == {RE.NOTHING_FOUND}
 
 
+def test_one_block_of_questions_leaves_the_index_where_it_lies(spark, tmp_path, monkeypatch):
+    """No vector is shuffled, and the best are those of blocks that meet in tasks; with equal rows, equal
+    questions, a text without words and none."""
+    texts = ["swiggy dinner", "netflix", "rent", "swiggy", "uber ride", "", "rent rent house", "netflix monthly 1996"]
+    rows = statement(spark, [(f"{texts[i % 8]} {i % 5}", -(100 + i % 3), i % 9 + 1, "dining") for i in range(240)])
+    RE.index_transactions(rows, 256).repartition(4).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    asked = [(f"q{i}", t) for i, t in enumerate(["how much for netflix", "rent", "rent", "", None, "zzz", "uber 2024 03"])]
+    asked = spark.createDataFrame(asked + [asked[0]], "query_id string, question string")
+    vectors = asked.select("query_id", H.hash_vector(F.col("question"), 256).alias("vector"))
+    plan = RE.topk_sparse(index, vectors, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Explode" not in plan.title()
+    monkeypatch.setattr(RE, "BLOCK_ROWS", 50)  # several blocks in a task
+    got = sorted(map(str, RE.query_batch(index, asked, 4, 256).collect()))
+    monkeypatch.setattr(RE, "_in_one_block", lambda *_: False)
+    assert got == sorted(map(str, RE.query_batch(index, asked, 4, 256).collect()))
+
+
 def test_dense_top_k(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]),
                                      ("z", [0.0, 0.0])], "id string, values array<double>")
