@@ -123,11 +123,20 @@ def _features(spark, sf):
     return FE.feature_matrix(X.silver(spark, sf), keep=("source_file", "txn_date", "cents"))
 
 
+def _stored(rows, name):
+    """The rows as a table: worked out once, read by column by all that need them."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _silver(spark, sf):
+    """Outflows and all else, as a table of what anomalies and features look at."""
+    return _stored(X.silver(spark, sf).select("source_file", "txn_date", "description", "amount", "category"), "silver")
+
+
 def _stored_features(spark, sf):
-    """The same as a table: worked out once, read by column by all that need them."""
-    path = scratch(spark, "features")
-    _features(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+    return _stored(_features(spark, sf), "features")
 
 
 def _fitted(spark, sf, features=None):
@@ -249,9 +258,9 @@ UNION ALL SELECT h.source_file, 'ml_outlier', h.message FROM hits h
   WHERE NOT EXISTS (SELECT 1 FROM rule_members r WHERE r.source_file = h.source_file
     AND r.txn_date = h.txn_date AND r.description = h.description AND r.amount = h.amount)""")
 def anom_combine(spark, sf):
-    rows = X.silver(spark, sf)
+    rows = _silver(spark, sf)
     hits = I.model_anomalies(rows, stated_forest.forest(spark)).drop("score")
-    return A.combine(A.detect(rows), hits).select("source_file", "type", "message")
+    return A.combine(_stored(A.detect(rows), "rules"), hits).select("source_file", "type", "message")
 
 
 @query()
@@ -357,11 +366,9 @@ def _questions(spark, sf, index):
     known = index.select(F.col("metadata.category").alias("query_id"), "metadata.description")
     asked = known.groupBy("query_id").agg(F.min("description").alias("question"))
     turns = X.table(spark, sf, "conversations").where("turn = 0")
-    path = scratch(spark, "questions")
-    (spark.createDataFrame(fixed, "query_id string, question string").unionByName(asked)
-     .unionByName(turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("query_id"),
-                               F.col("text").alias("question"))).write.parquet(path))
-    return spark.read.parquet(path)
+    return _stored(spark.createDataFrame(fixed, "query_id string, question string").unionByName(asked)
+                   .unionByName(turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("query_id"),
+                                             F.col("text").alias("question"))), "questions")
 
 
 _QUERIED = _LINES + ", q AS (" + " UNION ALL ".join(

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tallywright.functions import vectors as H
 from tallywright.operators import anomaly as A
 from tallywright.operators import conform as C
@@ -210,6 +211,14 @@ def test_mean_depths_are_those_of_a_walk(spark):
     assert (I._mean_depths(x, I._laid_out(table), 8) == want).all()
 
 
+@pytest.mark.parametrize("name", ["anom_combine", "iforest_score_fitted", "iforest_persist"])
+def test_a_query_that_reads_rows_again_reads_them_from_a_table(spark, sf_dir, name):
+    """Joined, redacted and categorized once, whatever reads them."""
+    found = queries()[name](spark, sf_dir)
+    assert found.count() > 0
+    assert not [f for f in found.inputFiles() if "lineitem" in f or "orders" in f]
+
+
 def percentile_of(values, p):
     values = sorted(values)
     at = p * (len(values) - 1)
