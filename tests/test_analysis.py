@@ -211,7 +211,7 @@ def test_mean_depths_are_those_of_a_walk(spark):
     assert (I._mean_depths(x, I._laid_out(table), 8) == want).all()
 
 
-@pytest.mark.parametrize("name", ["anom_combine", "iforest_score_fitted", "iforest_persist"])
+@pytest.mark.parametrize("name", ["anom_combine", "anom_combine_model", "iforest_score_fitted", "iforest_persist"])
 def test_a_query_that_reads_rows_again_reads_them_from_a_table(spark, sf_dir, name):
     """Joined, redacted and categorized once, whatever reads them."""
     found = queries()[name](spark, sf_dir)
