@@ -238,6 +238,44 @@ def test_buckets_grow_and_folders_are_folded(spark, tmp_path, monkeypatch):
     assert sorted(r["v"] for r in tables.read_table(spark, path).collect()) == [0, 1, 2, 3, 4, 5, 9]
 
 
+def test_small_loads_do_not_rewrite_a_large_table(spark, tmp_path, monkeypatch):
+    """Keys of the large folder are replaced by small loads, also again, with null as a key; what is written
+    stays near what is brought until loads have brought half the folder."""
+    path, written, real = str(tmp_path / "fact"), [], snapshots._write
+
+    def counted(*args):
+        made = real(*args)
+        written.append(sum(made.values()))
+        return made
+
+    monkeypatch.setattr(snapshots, "_write", counted)
+    want = {None if i == 7 else f"k{i:03d}": 0 for i in range(400)}
+    rows = lambda d: spark.createDataFrame([(k, v, c) for k, v in d.items() for c in range(40)],
+                                           "source_file string, v int, c int").withColumn("h", F.sha2(F.concat_ws("-", "v", "c", "source_file"), 256))
+    tables.replace_by_source(rows(want), path, 2)
+    large, bring = written.pop(), 0
+    for i, some in enumerate([["k001", "k002"], ["k002", None], [None, "new"], ["k399", "new"]], 1):
+        want |= {k: i for k in some}
+        written.clear()
+        tables.replace_by_source(rows({k: i for k in some}), path)
+        bring += sum(written)
+        table = tables.read_table(spark, path)
+        assert table.columns == ["source_file", "v", "c", "h"]
+        got = table.groupBy("source_file").agg(F.min("v"), F.max("v"), F.count("c")).collect()
+        assert {tuple(r) for r in got} == {(k, v, v, 40) for k, v in want.items()}
+    assert bring < large / 4 and snapshots.manifest(spark, path).gone
+    assert len(list((tmp_path / "fact" / "_keys").iterdir())) == len(snapshots.manifest(spark, path).lists())
+    assert snapshots.vacuum(spark, path) == 0
+    half = {f"k{i:03d}": 9 for i in range(100, 320)}  # the folder is written anew, and nothing is noted any more
+    tables.replace_by_source(rows(half), path)
+    got = tables.read_table(spark, path).groupBy("source_file").agg(F.min("v"), F.max("v"), F.count("c")).collect()
+    assert {tuple(r) for r in got} == {(k, v, v, 40) for k, v in (want | half).items()}
+    assert not snapshots.manifest(spark, path).gone
+    tables.replace_by_source(rows({}), path)
+    tables.replace_by_source(rows({"k001": 11}), path, 4)  # laid out anew
+    assert tables.read_table(spark, path).count() == 40 * len(want | half)
+
+
 def test_upsert_last_wins(spark):
     store = spark.createDataFrame([("1", "old"), ("2", "keep")], "id string, m string")
     new = spark.createDataFrame([("1", "x", 1), ("1", "y", 2), ("3", "z", 3)],
